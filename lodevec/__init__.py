@@ -11,3 +11,10 @@ Every operator takes and returns lazy DataFrames.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
