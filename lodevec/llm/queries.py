@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodevec.llm import current, neighbours
+from lodevec.llm import clusters, current, neighbours
 from lodevec.session import table
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.similarity_groups(current.current_vectors(table(spark, d, "docs_ingest")), least=0.8, min_size=25)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.neighbours_in_order(_groups(spark, d))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Size and the three most typical ids of each group."""
+    return clusters.describe_groups(_groups(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     vectors = current.current_vectors(table(spark, d, "docs_ingest"))
     return neighbours.near_pairs(neighbours.top_similar(vectors, k=5, least=0.95), 0.95)
@@ -21,5 +34,5 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.top_similar(vectors, k=5, deep_share=0.2, every=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p5_found, p5_neighbours)}
 SQL: dict[str, str] = {}
