@@ -4,10 +4,12 @@ The two halves of a unit vector are quantised separately; a pair of centroids is
 query visits cells in the order of the summed distance of its halves to the pair, and
 its entries are ranked again by the exact cosine similarity.
 
-On the cluster, all cells with the same first centroid form a block, divided by the second
-centroid where it has many rows.  A row goes once to its own block, as an entry, and once to
+On the cluster, the cells of near first centroids form a block, divided by near second
+centroids where it has many rows.  A row goes once to its own block, as an entry, and once to
 each further block that holds a cell it visits; similarity being symmetric, a pair is found
-when either of the two visits the other.
+when either of the two visits the other.  Of exact copies in one batch, the first few by id are
+entries; the others have these as neighbours and travel without a vector, to any block, so that a
+third of all rows being copies makes no hot block.
 """
 
 from __future__ import annotations
@@ -26,20 +28,22 @@ from lodevec.llm.current import DIM, kmeans, nearest, sample_vectors, unit, unpa
 
 SAMPLE_ROWS = 65_536
 CELL_ROWS = 48
-BLOCK_ROWS = 40_000
+BLOCK_ROWS = 100_000
 DEEP_ROWS = 10_000
 MAX_CENTRES = 2048
 
 
 @dataclass
 class MultiIndex:
-    """Codebooks of the two halves, rows of each cell, and the number of parts of each block."""
+    """Codebooks of the two halves, the rows of each cell, and which block a cell belongs to."""
 
     first: np.ndarray
     second: np.ndarray
     dim: int
     sizes: np.ndarray | None = None
+    coarse: np.ndarray | None = None
     parts: np.ndarray | None = None
+    fine: np.ndarray | None = None
 
     def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.dim // 2
@@ -53,9 +57,21 @@ class MultiIndex:
             np.einsum("ij,ij->i", self.second, self.second) - 2 * x[:, h:] @ self.second.T,
         )
 
+    def divide(self, block_rows: int) -> None:
+        """Group near centroids so that blocks hold about ``block_rows`` rows."""
+        k1, k2 = self.sizes.shape
+        blocks = int(np.clip(math.ceil(self.sizes.sum() / block_rows), 1, k1))
+        self.coarse = nearest(self.first, kmeans(self.first, blocks))
+        rows = np.bincount(self.coarse, weights=self.sizes.sum(1), minlength=blocks)
+        self.parts = np.clip(np.ceil(rows / (2 * block_rows)).astype(np.int64), 1, k2)
+        self.fine = np.zeros((self.parts.max() + 1, k2), np.int64)
+        for p in np.unique(self.parts):
+            self.fine[p] = nearest(self.second, kmeans(self.second, int(p)))
+
     def block(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
         """Block number of a cell."""
-        return c1 * (1 << 20) + c2 % self.parts[c1]
+        g = self.coarse[c1]
+        return g * len(self.second) + self.fine[self.parts[g], c2]
 
 
 def fit(vectors: DataFrame, n_rows: int, dim: int = DIM, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS) -> MultiIndex:
@@ -118,7 +134,7 @@ def deep_pairs(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: int) ->
 
 
 def _measure(index: MultiIndex, vectors: DataFrame, block_rows: int) -> None:
-    """Count the rows of all cells (all rows, summed on the executors) and fix the parts of each block."""
+    """Count the rows of all cells (all rows, summed on the executors) and fix the blocks."""
     k1, k2, dim = len(index.first), len(index.second), index.dim
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,25 +149,59 @@ def _measure(index: MultiIndex, vectors: DataFrame, block_rows: int) -> None:
     sizes = np.zeros(k1 * k2, np.int64)
     sizes[cells["cell"]] = cells["n"]
     index.sizes = sizes.reshape(k1, k2)
-    index.parts = np.clip(np.ceil(index.sizes.sum(1) / block_rows).astype(np.int64), 1, k2)
+    index.divide(block_rows)
+
+
+def split_copies(vec: pa.Array, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Of rows with equal bytes the ``keep`` lowest ids stay: (rows that stay, rows that do not, the ids which stayed for each of these)."""
+    if isinstance(vec, pa.ChunkedArray):
+        vec = vec.combine_chunks()
+    codes = vec.dictionary_encode().indices.to_numpy()
+    if not len(codes) or np.bincount(codes).max() <= keep:
+        return np.arange(len(ids)), np.zeros(0, np.int64), []
+    order = np.lexsort((ids, codes))
+    start = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+    rank = np.arange(len(ids)) - np.repeat(start, np.diff(np.append(start, len(ids))))
+    stay, rest = order[rank < keep], order[rank >= keep]
+    first = {int(codes[order[s]]): ids[order[s : s + keep]].tolist() for s in start}
+    return np.sort(stay), rest, [first[int(codes[r])] for r in rest]
 
 
-def _visits(index: MultiIndex, visits: int, deep_share: float | None, every: int | None):
-    """Rows to (block, id, vec, own, cells): the own block with ``own`` set, and each block with cells to visit.
+def _visits(index: MultiIndex, visits: int, deep_share: float | None, every: int | None, k: int):
+    """Rows to (block, id, vec, own, cells, copies).
 
-    ``own`` is the second-half code of an entry, -1 for a visitor; ``cells`` lists the cells to visit as
-    first * k2 + second.
+    The own block with its cell in ``own``, and each block with ``cells`` to visit, where ``own`` is -1; cells are
+    numbered first * k2 + second.  A surplus copy has no vector but the ids of its ``copies``.
     """
     dim, k2 = index.dim, len(index.second)
     want = None if deep_share is None else max(DEEP_ROWS, int(math.ceil(deep_share * index.sizes.sum())))
+    blocks = np.unique(index.block(*np.divmod(np.arange(index.sizes.size), k2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "id", "vec", "own", "cells", "copies"]
         for b in batches:
-            n = b.num_rows
-            if not n:
+            if not b.num_rows:
                 continue
-            ids = b.column(0).to_numpy()
-            x = unpack(b.column(1), dim)
+            ids, vec = b.column(0).to_numpy(), b.column(1)
+            stay, rest, copies = split_copies(vec, ids, k + 1)
+            if len(rest):
+                asked = np.ones(len(rest), bool) if want is None else ids[rest] % every == 0
+                rest, copies = rest[asked], [c for c, a in zip(copies, asked) if a]
+                m = len(rest)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(blocks[ids[rest] % len(blocks)]),
+                        pa.array(ids[rest]),
+                        pa.array([b""] * m, pa.binary()),
+                        pa.array(np.full(m, -1, np.int32)),
+                        pa.array([[]] * m, pa.list_(pa.int32())),
+                        pa.array(copies, pa.list_(pa.int64())),
+                    ],
+                    names,
+                )
+            ids, vec = ids[stay], vec.take(pa.array(stay))
+            n = len(ids)
+            x = unpack(vec, dim)
             d1, d2 = index.distances(x)
             c1, c2 = d1.argmin(1), d2.argmin(1)
             if want is None:
@@ -167,85 +217,108 @@ def _visits(index: MultiIndex, visits: int, deep_share: float | None, every: int
             full = index.sizes[p1, p2] > 0
             who, p1, p2 = who[full], p1[full], p2[full]
             # one record for each row and block: the entry, and where it visits cells of the block
+            home = index.block(c1, c2)
             who = np.concatenate([np.arange(n), who])
-            block = np.concatenate([index.block(c1, c2), index.block(p1, p2)])
+            block = np.concatenate([home, index.block(p1, p2)])
             cell = np.concatenate([np.full(n, -1), p1 * k2 + p2])
             order = np.lexsort((cell, block, who))
             who, block, cell = who[order], block[order], cell[order]
             new = np.flatnonzero(np.r_[True, (np.diff(who) != 0) | (np.diff(block) != 0)])
             real = cell >= 0
             ends = np.cumsum(real)
-            starts = ends[new] - real[new]
-            offsets = np.append(starts, ends[-1]).astype(np.int32)
+            offsets = np.append(ends[new] - real[new], ends[-1]).astype(np.int32)
             cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell[real].astype(np.int32)))
             w, bl = who[new], block[new]
-            own = np.where(bl == index.block(c1, c2)[w], c2[w], -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bl), pa.array(ids[w]), b.column(1).take(pa.array(w)), pa.array(own.astype(np.int32)), cells],
-                ["block", "id", "vec", "own", "cells"],
-            )
+            own = np.where(bl == home[w], c1[w] * k2 + c2[w], -1)
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(w) + 1, np.int32)), pa.array([], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(bl), pa.array(ids[w]), vec.take(pa.array(w)), pa.array(own.astype(np.int32)), cells, none], names)
 
     return run
 
 
-def _within(index: MultiIndex, k: int, least: float, ask_only: bool):
+def _best(a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of each row's best ``k`` others, ties to the lower id, each other once."""
+    order = np.lexsort((b, -sim, a))
+    a, b = a[order], b[order]
+    if not len(a):
+        return order
+    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    order, a = order[fresh], a[fresh]
+    start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+    return order[rank < k]
+
+
+def _within(index: MultiIndex, k: int, least: float, every: int | None):
     """Neighbours found in one block: each row's best ``k``, with exact similarities."""
-    dim, k2 = index.dim, len(index.second)
+    dim = index.dim
 
     def run(group: pa.Table) -> pa.Table:
+        surplus = group["vec"].combine_chunks()
+        surplus = np.flatnonzero(np.diff(np.frombuffer(surplus.buffers()[1], np.int32)[surplus.offset : surplus.offset + len(surplus) + 1]) == 0)
+        qa, qb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def link(ids: np.ndarray, copies: list[list[int]]) -> None:
+            pairs = np.array([(i, c) for i, cs in zip(ids.tolist(), copies) for c in cs if c != i], np.int64).reshape(-1, 2)
+            qa.append(pairs[:, 0])
+            qb.append(pairs[:, 1])
+
+        if len(surplus):
+            link(group["id"].to_numpy()[surplus], group["copies"].combine_chunks().take(pa.array(surplus)).to_pylist())
+            group = group.take(pa.array(np.setdiff1d(np.arange(len(group)), surplus)))
+        # copies that met here from different batches
+        own = group["own"].to_numpy()
+        entry = np.flatnonzero(own >= 0)
+        _, rest, copies = split_copies(group["vec"].combine_chunks().take(pa.array(entry)), group["id"].to_numpy()[entry], k + 1)
+        if len(rest):
+            rest = entry[rest]
+            asked = np.ones(len(rest), bool) if every is None else group["id"].to_numpy()[rest] % every == 0
+            link(group["id"].to_numpy()[rest[asked]], [c for c, a in zip(copies, asked) if a])
+            group = group.take(pa.array(np.setdiff1d(np.arange(len(group)), rest)))
+            own = group["own"].to_numpy()
         ids = group["id"].to_numpy()
         x = unpack(group["vec"], dim)
-        own = group["own"].to_numpy()
         cells = group["cells"].combine_chunks()
         at = cells.offsets.to_numpy()
-        cell = cells.values.to_numpy()[at[0] : at[-1]]
+        code = cells.values.to_numpy()[at[0] : at[-1]]
         asker = np.repeat(np.arange(len(ids)), np.diff(at))
-        code = cell % k2
         order = np.argsort(code, kind="stable")
         asker, code = asker[order], code[order]
-        ask_at = {c: s for c, s in zip(*np.unique(code, return_index=True))}
-        ask_n = np.bincount(code, minlength=k2)
+        cell, starts = np.unique(code, return_index=True)
+        ends = np.append(starts[1:], len(code))
         entries = np.argsort(own, kind="stable")
         entries = entries[own[entries] >= 0]
-        at2 = np.searchsorted(own[entries], np.arange(k2 + 1))
-        qs, rs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for c in ask_at:
-            r = entries[at2[c] : at2[c + 1]]
-            if not len(r):
+        lo, hi = np.searchsorted(own[entries], cell, "left"), np.searchsorted(own[entries], cell, "right")
+        qs, rs, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for s, e, l, h in zip(starts, ends, lo, hi):
+            if l == h:
                 continue
-            q = asker[ask_at[c] : ask_at[c] + ask_n[c]]
+            r, q = entries[l:h], asker[s:e]
             xr = x[r].T
             step = max(1, 4_000_000 // len(r))
             for a in range(0, len(q), step):
                 part = q[a : a + step]
-                s = x[part] @ xr
-                if ask_only and len(r) > k + 1:  # any similarity counts: the best k + 1 of the cell, itself among them perhaps
-                    j = np.argpartition(-s, k, axis=1)[:, : k + 1]
+                near = x[part] @ xr
+                if every is not None and len(r) > k + 1:  # the best k + 1 of the cell, which may hold the row itself
+                    j = np.argpartition(-near, k, axis=1)[:, : k + 1].ravel()
                     i = np.repeat(np.arange(len(part)), k + 1)
-                    j = j.ravel()
                 else:
-                    i, j = np.nonzero(s >= least - 1e-5)
-                qs.append(part[i])
-                rs.append(r[j])
-        q, r = np.concatenate(qs), np.concatenate(rs)
-        other = ids[q] != ids[r]
-        q, r = q[other], r[other]
-        # the exact similarity, in double precision
-        sim = np.concatenate(
-            [np.einsum("ij,ij->i", x[q[a : a + 65536]], x[r[a : a + 65536]], dtype=np.float64) for a in range(0, len(q), 65536)] or [np.zeros(0)]
-        )
-        ok = sim >= least
-        q, r, sim = q[ok], r[ok], sim[ok]
-        if not ask_only:  # what is near is near both ways
+                    i, j = np.nonzero(near >= least - 1e-5)
+                i, j = part[i], r[j]
+                other = ids[i] != ids[j]
+                i, j = i[other], j[other]
+                # the exact similarity, in double precision
+                sim = np.einsum("ij,ij->i", x[i], x[j], dtype=np.float64)
+                ok = sim >= least
+                qs.append(i[ok])
+                rs.append(j[ok])
+                sims.append(sim[ok])
+        q, r, sim = np.concatenate(qs), np.concatenate(rs), np.concatenate(sims)
+        if every is None:  # what is near is near both ways
             q, r, sim = np.concatenate([q, r]), np.concatenate([r, q]), np.tile(sim, 2)
-        a, b = ids[q], ids[r]
-        order = np.lexsort((b, -sim, a))
-        a, b, sim = a[order], b[order], sim[order]
-        fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-        a, b, sim = a[fresh], b[fresh], sim[fresh]
-        start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
-        rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-        keep = rank < k
+        same = np.concatenate(qa)
+        a, b, sim = np.concatenate([ids[q], same]), np.concatenate([ids[r], *qb]), np.concatenate([sim, np.ones(len(same))])
+        keep = _best(a, b, sim, k)
         return pa.table({"id": a[keep], "other": b[keep], "similarity": sim[keep]})
 
     return run
@@ -255,7 +328,7 @@ def top_similar(
     vectors: DataFrame,
     k: int = 5,
     least: float = -1.0,
-    visits: int = 12,
+    visits: int = 8,
     deep_share: float | None = None,
     every: int | None = None,
     dim: int = DIM,
@@ -268,7 +341,8 @@ def top_similar(
     neighbours of at least that similarity count: then ``visits`` cells a row are enough.  With
     ``deep_share`` and ``every`` the queries are the rows whose id is divisible by ``every``, and
     each visits cells in heap order until they hold that share of all rows (10,000 rows at least).  A row alone has
-    no neighbours; an empty table gives none.  Exact copies are neighbours of each other.
+    no neighbours; an empty table gives none.  Exact copies are neighbours of each other; of more than k + 1
+    in one batch or block, those beyond have the lowest ids of that batch or block as theirs.
     """
     from lodevec.session import cut_lineage
 
@@ -276,10 +350,12 @@ def top_similar(
     n = vectors.count()
     index = fit(vectors, n, dim, sample_rows)
     _measure(index, vectors, block_rows)
-    deep = deep_share is not None
-    spread = vectors.mapInArrow(_visits(index, visits, deep_share, every), "block long, id long, vec binary, own int, cells array<int>")
-    found = spread.groupBy("block").applyInArrow(_within(index, k, least, deep), "id long, other long, similarity double")
-    if not deep:
+    every = None if deep_share is None else every or 1
+    spread = vectors.mapInArrow(
+        _visits(index, visits, deep_share, every, k), "block long, id long, vec binary, own int, cells array<int>, copies array<long>"
+    )
+    found = spread.groupBy("block").applyInArrow(_within(index, k, least, every), "id long, other long, similarity double")
+    if every is None:
         found = found.dropDuplicates(["id", "other"])
     best = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("other"))
     return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
