@@ -8,29 +8,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodevec.functions.vectors import as_column
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_half(v: pd.Series) -> pd.Series:
     """array<float> to half-precision bytes."""
     return v.map(lambda x: None if x is None else np.asarray(x, np.float32).astype(np.float16).tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_half(b: pd.Series) -> pd.Series:
     """Half-precision bytes to array<float>."""
     return b.map(lambda x: None if x is None else np.frombuffer(x, np.float16).astype(np.float32))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_single(v: pd.Series) -> pd.Series:
     """array<float> to single-precision bytes."""
     return v.map(lambda x: None if x is None else np.asarray(x, np.float32).tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_single(b: pd.Series) -> pd.Series:
     """Single-precision bytes to array<float>."""
     return b.map(lambda x: None if x is None else np.frombuffer(x, np.float32))
