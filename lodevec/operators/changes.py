@@ -64,6 +64,7 @@ def latest_changes(
     task to its first row of a key before the shuffle, so one key with a third of the
     feed moves one row a task.
     """
+    feed = feed.drop("__seq", "__kind", "__rank")
     # any record of a snapshot can tell its number, so the look-up comes before the filter
     feed = with_sequence(feed.withColumn("__kind", change_kind(F.col(kind))), scope, sequence, snapshot)
     feed = feed.where(F.col("__kind").isin(INSERT, DELETE, AFTER))
@@ -86,7 +87,8 @@ def apply_changes(
     Keys whose deciding change is a delete are dropped; others carry the columns of the
     feed with the resolved sequence number.  Rows of ``base`` stay unless the feed
     decides their key (null keys count as values).  Columns missing on one side are null.
-    An empty feed gives ``base``; an empty base with an empty feed gives no rows.
+    An empty feed gives ``base``; an empty base with an empty feed gives no rows.  Extra columns are carried along; the
+    names ``__seq``, ``__kind`` and ``__rank`` are this operator's own and dropped from the feed.
     """
     last = latest_changes(feed, keys=keys, sequence=sequence, **how)
     present = last.where(F.col("__kind") != DELETE).withColumn(sequence, F.col("__seq")).drop("__seq", "__kind")

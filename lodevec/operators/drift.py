@@ -184,7 +184,7 @@ def read_drifting(files: DataFrame, records: DataFrame) -> DataFrame:
         .groupBy("table_key", "path")
         .agg(F.collect_set(F.struct("name", "canonical")).alias("__names"))
     )
-    rows = records.dropDuplicates(["table_key", "path", "row_no", "record"]).join(names, ["table_key", "path"], "left")
+    rows = records.select("table_key", "path", "row_no", "record").distinct().join(names, ["table_key", "path"], "left")
     parsed = F.from_json("record", "map<string,string>")
     entries = F.transform(
         F.map_entries(parsed),
