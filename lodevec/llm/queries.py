@@ -87,7 +87,7 @@ _RANKED = """
 with arms as (
   select query_id, row_id, arm, -cast(distance as double) s from docs_search where arm in ('embedding', 'text')
   union all select query_id, row_id, 'multimodal', abs(cast(rrf_score as double)) from multimodal_search),
-best as (select query_id, row_id, arm, max(s) s from arms where s is not null and not isnan(s)
+best as (select query_id, row_id, arm, max(s) s from arms where s is not null and not contains(s::varchar, 'nan')
   and query_id is not null and row_id is not null group by all),
 med as (select query_id, arm, quantile_disc(s, 0.5) med from best group by all),
 dev as (select query_id, arm, quantile_disc(abs(s - med), 0.5) mad, any_value(med) med from best join med using (query_id, arm) group by all),
