@@ -631,7 +631,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CHUNKS = """
-with h as (select query_id, row_id, min(distance)::double distance from docs_search where arm = 'text' and distance is not null and not isnan(distance) group by all),
+with h as (select query_id, row_id, min(distance)::double distance from docs_search where arm = 'text' and distance is not null and not contains(distance::varchar, 'nan') group by all),
 t as (select * from (select id, topic_id::varchar document_id, text chunk_text, row_number() over (partition by id order by ingested_at desc nulls last) r from docs_ingest) where r = 1),
 c as (select query_id, document_id, id chunk_index, chunk_text, distance from h join t on row_id = id where chunk_text is not null)
 """
