@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevec.llm import clusters, current, mixing, neighbours, ranking, reading, tokens
-from lodevec.session import table
+from lodevec.session import spread, table
 
 ARMS = {"embedding": 1.0, "text": 1.0, "multimodal": 1.0}
 # Curriculum of the example mixes: first steps early, research late.
@@ -55,19 +55,19 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return tokens.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "ids")
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), TILTS)[0]
+    return mixing.mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"), TILTS)[0]
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), TILTS)[1]
+    return mixing.mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"), TILTS)[1]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "text"))
     model = reading.fit_levels(documents, table(spark, d, "level_labels"))
     return reading.reading_levels(documents, model)
 
