@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodevec.functions.vectors import as_column
+from lodevec.functions.vectors import as_column, let
 
 
 @F.pandas_udf(T.BinaryType())
@@ -46,14 +46,20 @@ def quantize_i8(v) -> Column:
     v = as_column(v)
     low, high = F.array_min(v), F.array_max(v)
     scale = F.when(high > low, (high - low) / 254.0).otherwise(F.lit(1.0))
-    zero = F.lit(-128.0) - low / scale
-    codes = F.transform(v, lambda x: F.greatest(F.least(F.round(x / scale + zero), F.lit(127.0)), F.lit(-128.0)).cast("int"))
-    return F.struct(codes.alias("codes"), scale.alias("scale"), zero.alias("zero_point"))
+
+    def codes(s: Column) -> Column:
+        one = F.transform(s["v"], lambda x: F.greatest(F.least(F.round(x / s["scale"] + s["zero"]), F.lit(127.0)), F.lit(-128.0)).cast("int"))
+        return F.struct(one.alias("codes"), s["scale"].alias("scale"), s["zero"].alias("zero_point"))
+
+    def with_zero(s: Column) -> Column:
+        return F.struct(s["v"].alias("v"), s["scale"].alias("scale"), (F.lit(-128.0) - s["low"] / s["scale"]).alias("zero"))
+
+    return let(let(F.struct(v.alias("v"), low.alias("low"), scale.alias("scale")), with_zero), codes)
 
 
 def dequantize_i8(q: Column) -> Column:
     """array<double> from the struct of :func:`quantize_i8`."""
-    return F.transform(q["codes"], lambda c: (c - q["zero_point"]) * q["scale"])
+    return let(q, lambda s: F.transform(s["codes"], lambda c: (c - s["zero_point"]) * s["scale"]))
 
 
 def sub_vectors(dim: int, wanted: int) -> int:

@@ -30,6 +30,11 @@ def as_column(v: Column | str | Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 
 
+def let(values: Column, body) -> Column:
+    """``body(values)`` with ``values`` (a struct) computed once for each row, also where the body uses it in a lambda."""
+    return F.get(F.transform(F.array(values), body), F.lit(0))
+
+
 def dot(a, b) -> Column:
     """Sum of products; null when the lengths differ, or for a null vector or component."""
     return F.aggregate(F.zip_with(as_column(a), as_column(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -69,7 +74,8 @@ def distance(metric: str, a, b) -> Column:
 def normalize(a) -> Column:
     """Unit length; a vector of squared length under 1e-12 is left as it is."""
     v = as_column(a)
-    return F.when(norm(v) * norm(v) < 1e-12, v).otherwise(F.transform(v, lambda x: x / norm(v)))
+    known = F.struct(v.alias("v"), norm(v).alias("n"))
+    return let(known, lambda s: F.when(s["n"] * s["n"] < 1e-12, s["v"]).otherwise(F.transform(s["v"], lambda x: x / s["n"])))
 
 
 def is_finite(a) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodevec.functions import quant, text, vectors
 from lodevec.operators import bm25, context, fusion, ivf, knn, memory
 from lodevec.plans import estimate, prune
-from lodevec.session import shared_folder, table
+from lodevec.session import shared_folder, spread, table
 from lodevec.sources.table import Table, VectorColumn
 
 WORDS = "commit protocol snapshot vector"
@@ -282,7 +282,7 @@ b as (
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 @query(f"{_DOCS} select doc_id, term, count(*) tf, n doc_len from (select doc_id, n, unnest(t) term from n) group by all")

@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files than there are cores, spread over the cores, for work that is long beside its input.
+
+    Large tables have more files than cores and are left as they are: then nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and go on from there.
 
