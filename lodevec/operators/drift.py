@@ -128,28 +128,53 @@ def schema_changes(files: DataFrame) -> DataFrame:
     return rows.select("table_key", "path", "sequence_number", "c.*").distinct()
 
 
-def field_lineage(files: DataFrame) -> DataFrame:
+def guessed_renames(files: DataFrame) -> DataFrame:
+    """(table_key, name, was): names that took another's place where a file without ids had exactly one field more and one
+    less than the file before, of the same type.  Reports never use the guess, only the table that brings all files together."""
+    c = schema_changes(files).where(F.col("change_kind").isin("added", "removed"))
+    one = c.groupBy("table_key", "path", "sequence_number").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.when(F.col("change_kind") == "added", F.struct(F.col("field_name").alias("f"), F.col("new_type").alias("t")))).alias("a"),
+        F.max(F.when(F.col("change_kind") == "removed", F.struct(F.col("field_name").alias("f"), F.col("old_type").alias("t")))).alias("r"),
+    )
+    one = one.where((F.col("n") == 2) & (F.col("a.t") == F.col("r.t")))
+    return one.groupBy("table_key", F.col("a.f").alias("name")).agg(F.min_by("r.f", "sequence_number").alias("was"))
+
+
+def field_lineage(files: DataFrame, vectors: DataFrame | None = None, vector_name: str = "embedding") -> DataFrame:
     """For each file and field: ``canonical`` name, the first one its lineage had.
 
-    A lineage is a field id within a table; files that list no ids lend theirs from the
-    latest file of the table in which the name had one, else the name itself is the lineage.
+    A lineage is a field id within a table.  A file that lists no ids lends them from the latest file of the table in which the
+    name had one, else (up to two steps back) from the name it seems to have replaced, see :func:`guessed_renames`; else the name
+    itself is the lineage.  ``vectors`` (table_key, path, vector_column) tells each file's vector field, which is called ``vector_name``.
     """
     each = file_fields(files).select("table_key", "path", "sequence_number", F.explode("fields").alias("f"))
     each = each.select("table_key", "path", "sequence_number", F.col("f.id").alias("id"), F.col("f.name").alias("name"), F.col("f.type").alias("type"))
     with_id = each.where(F.col("id").isNotNull())
     known = with_id.groupBy("table_key", "name").agg(F.max_by("id", "sequence_number").alias("known_id"))
     first = with_id.groupBy(F.col("table_key"), F.col("id").alias("lineage")).agg(F.min_by("name", F.struct("sequence_number", "name")).alias("first_name"))
-    each = each.join(known, ["table_key", "name"], "left").withColumn("lineage", F.coalesce("id", "known_id"))
-    each = each.join(first, ["table_key", "lineage"], "left")
-    return each.select("table_key", "path", "sequence_number", "name", "type", F.coalesce("first_name", "name").alias("canonical"))
-
-
-def union_schema(files: DataFrame) -> DataFrame:
+    guess = guessed_renames(files)
+    older = guess.select("table_key", F.col("name").alias("was"), F.col("was").alias("was2"))
+    guess = guess.join(older, ["table_key", "was"], "left")
+    for step, name in ((1, "was"), (2, "was2")):
+        guess = guess.join(known.select("table_key", F.col("name").alias(name), F.col("known_id").alias(f"id{step}")), ["table_key", name], "left")
+    guess = guess.select("table_key", "name", F.coalesce("id1", "id2").alias("guessed_id"), F.coalesce("was2", "was").alias("oldest"))
+    each = each.join(known, ["table_key", "name"], "left").join(guess, ["table_key", "name"], "left")
+    each = each.withColumn("lineage", F.coalesce("id", "known_id", "guessed_id")).join(first, ["table_key", "lineage"], "left")
+    canonical = F.coalesce("first_name", F.when(F.col("id").isNull() & F.col("known_id").isNull(), F.col("oldest")), "name")
+    if vectors is not None:
+        v = vectors.select("table_key", "path", F.lower(F.trim("vector_column")).alias("__v")).where("__v is not null").groupBy("table_key", "path").agg(F.max("__v").alias("__v"))
+        each = each.join(v, ["table_key", "path"], "left")
+        canonical = F.when(F.col("name") == F.col("__v"), F.lit(vector_name)).otherwise(canonical)
+    return each.select("table_key", "path", "sequence_number", "name", "type", canonical.alias("canonical"))
+
+
+def union_schema(files: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """One row for each field of the union: canonical name, its type by the lattice, use counts.
 
     The set of types of a name is tiny, so the fold runs on a set that was built on the map side.
     """
-    fields = field_lineage(files)
+    fields = field_lineage(files, vectors)
     grouped = fields.groupBy(F.col("canonical").alias("field_name")).agg(
         F.collect_set("type").alias("types"), F.collect_set("name").alias("names"), F.count(F.lit(1)).alias("n_files")
     )
@@ -167,7 +192,7 @@ def union_schema(files: DataFrame) -> DataFrame:
     return grouped.select("field_name", folded.alias("field_type"), F.array_join(F.array_sort("names"), ",").alias("spellings"), "n_files")
 
 
-def read_drifting(files: DataFrame, records: DataFrame) -> DataFrame:
+def read_drifting(files: DataFrame, records: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """All records in one table with the union's fields, cast to the union's types.
 
     ``table_key, path, row_no`` stay; then one column for each field of the union (a name that
@@ -176,11 +201,11 @@ def read_drifting(files: DataFrame, records: DataFrame) -> DataFrame:
     files without a schema keep their names.  The field names (not the records) are collected:
     their number is bounded by the design of the feeds, and checked.
     """
-    fields = union_schema(files).select("field_name", "field_type").orderBy("field_name").limit(10_001).collect()
+    fields = union_schema(files, vectors).select("field_name", "field_type").orderBy("field_name").limit(10_001).collect()
     if len(fields) > 10_000:
         raise ValueError("more than 10,000 different fields: this is no drifting table")
     names = (
-        field_lineage(files)
+        field_lineage(files, vectors)
         .groupBy("table_key", "path")
         .agg(F.collect_set(F.struct("name", "canonical")).alias("__names"))
     )

@@ -12,6 +12,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,8 +121,29 @@ def _frames_end(data: bytes) -> None:
         raise ValueError("cut frame")
 
 
+def write_lines(rows: DataFrame, root: str) -> DataFrame:
+    """Write the ``record`` of each row as a line of ``root/path``, by row_no; (table_key, path, record_count, file_size_bytes) of each file.
+
+    Line ends inside a record become blanks.  A file is made from the rows of one path, which is one task's work; a task that runs
+    again writes the same file.
+    """
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row_no", "record"])
+        name = key[1].lstrip("/")
+        data = "".join(r.replace("\r", " ").replace("\n", " ") + "\n" for r in pdf["record"]).encode()
+        place = os.path.join(root, name)
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        with open(f"{place}.{os.getpid()}", "wb") as f:
+            f.write(data)
+        os.replace(f"{place}.{os.getpid()}", place)
+        return pd.DataFrame({"table_key": [key[0]], "path": [name], "record_count": [len(pdf)], "file_size_bytes": [len(data)]})
+
+    return rows.groupBy("table_key", "path").applyInPandas(write, "table_key string, path string, record_count long, file_size_bytes long")
+
+
 def join_files(sources: Iterable[str], out: str, header: bool = False) -> dict:
-    """Join files of one kind into ``out``; give the bytes, sources and CRC of the result.
+    """Join files of one kind into ``out``; give the bytes, sources, line ends and CRC of the result.
 
     ``*.zst``: each source must be whole frames, which are appended as they are.  Other
     files: newline-delimited; a missing last newline is supplied, so that no record runs
@@ -129,7 +151,7 @@ def join_files(sources: Iterable[str], out: str, header: bool = False) -> dict:
     the same and is left out.  Empty files add nothing.  The result is read again and compared
     by length and CRC before it gets its name; on any failure nothing is left.
     """
-    part, total, crc, n, first = f"{out}.part", 0, 0, 0, None
+    part, total, crc, n, lines, first = f"{out}.{os.getpid()}.part", 0, 0, 0, 0, None
     try:
         with open(part, "wb") as to:
             for source in sources:
@@ -151,6 +173,7 @@ def join_files(sources: Iterable[str], out: str, header: bool = False) -> dict:
                         data += b"\n"
                 to.write(data)
                 total += len(data)
+                lines += data.count(b"\n")
                 crc = zlib.crc32(data, crc)
             to.flush()
             os.fsync(to.fileno())
@@ -165,7 +188,7 @@ def join_files(sources: Iterable[str], out: str, header: bool = False) -> dict:
         if os.path.exists(part):
             os.unlink(part)
         raise
-    return {"bytes": total, "sources": n, "crc32": crc}
+    return {"bytes": total, "sources": n, "lines": lines, "crc32": crc}
 
 
 def merge_files(plan: DataFrame, root: str, out: str, header: bool = False) -> DataFrame:
@@ -180,11 +203,10 @@ def merge_files(plan: DataFrame, root: str, out: str, header: bool = False) -> D
         F.sort_array(F.collect_list(F.struct("target_offset", "path"))).alias("__sources")
     )
     name = F.xxhash64(*group, "target_no")
-    targets = targets.select(F.hex(name).alias("name"), "__sources")
+    # targets are few and heavy: spread them evenly over the tasks
+    targets = targets.select(F.hex(name).alias("name"), "__sources").repartition("name")
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         os.makedirs(out, exist_ok=True)
         for pdf in batches:
             done = []
@@ -195,6 +217,6 @@ def merge_files(plan: DataFrame, root: str, out: str, header: bool = False) -> D
                     raise ValueError(f"files of several kinds in one target: {sorted(kinds)}")
                 to = os.path.join(out, f"merged-{key}{kinds.pop()}")
                 done.append({"path": to, **join_files(paths, to, header)})
-            yield pd.DataFrame(done, columns=["path", "bytes", "sources", "crc32"])
+            yield pd.DataFrame(done, columns=["path", "bytes", "sources", "lines", "crc32"])
 
-    return targets.mapInPandas(run, "path string, bytes long, sources long, crc32 long")
+    return targets.mapInPandas(run, "path string, bytes long, sources long, lines long, crc32 long")

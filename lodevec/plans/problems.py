@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevec.operators import changes, drift, smallfiles
-from lodevec.session import table
+from lodevec.session import cut_lineage, shared_folder, table
 
 INDEX = "ailake_vector_index"  # name of the given table of file entries
 
@@ -47,21 +49,43 @@ def p4_targets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The merge itself, over the records at hand: the records of each file of ``raw_ingest`` are written as a small file of lines,
+    the files are planned and joined byte by byte, and each target is counted again: lines and bytes before and after."""
+    root = os.path.join(shared_folder(spark).removeprefix("file://"), "lines", uuid.uuid4().hex)
+    rows = table(spark, d, "raw_ingest").where("record is not null").select("table_key", "path", "row_no", "record")
+    listed = smallfiles.write_lines(rows, root).select("table_key", "path", "record_count", "file_size_bytes", F.lit(None).cast("string").alias("partition_value"), F.lit(True).alias("active"))
+    listed = cut_lineage(listed)
+    plan = smallfiles.plan_merge(listed, target=4 << 20, group=("partition_value",))
+    none = F.lit(0).cast("long")
+    before = plan.select(F.lit(1).alias("f0"), F.col("record_count").alias("l0"), F.col("file_size_bytes").alias("b0"), none.alias("f1"), none.alias("l1"), none.alias("b1"))
+    done = smallfiles.merge_files(plan, root, f"{root}/merged")
+    after = done.select(none.alias("f0"), none.alias("l0"), none.alias("b0"), F.lit(1).alias("f1"), F.col("lines").alias("l1"), F.col("bytes").alias("b1"))
+    names = {"f0": "files_before", "l0": "lines_before", "b0": "bytes_before", "f1": "files_after", "l1": "lines_after", "b1": "bytes_after"}
+    return before.unionByName(after).agg(*[F.sum(c).cast("long").alias(n) for c, n in names.items()])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(table(spark, d, "file_schema")).select("table_key", "path", "change_kind", "field_name")
 
 
+def _vector_fields(spark: SparkSession, d: str) -> DataFrame:
+    index = smallfiles.listed_files(table(spark, d, INDEX).select("table_key", "path", "vector_column"))
+    return index.where(F.col("table_key").endswith(".docs_ingest"))
+
+
 def p6_union_schema(spark: SparkSession, d: str) -> DataFrame:
-    return drift.union_schema(table(spark, d, "file_schema"))
+    return drift.union_schema(table(spark, d, "file_schema"), _vector_fields(spark, d))
 
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.read_drifting(table(spark, d, "file_schema"), table(spark, d, "raw_ingest"))
+    """Every record in one table; the vector field is the one that the file entries name."""
+    return drift.read_drifting(table(spark, d, "file_schema"), table(spark, d, "raw_ingest"), _vector_fields(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_current_rows, p4_found, p4_plan, p4_targets, p6_found, p6_union_schema, p6_table)
+    for f in (p1_found, p1_current_rows, p4_found, p4_plan, p4_targets, p4_merge, p6_found, p6_union_schema, p6_table)
 }
 
 _NOW = """

@@ -84,3 +84,16 @@ def test_ranges_of_sequence_numbers(spark):
     parts = drift.with_previous(drift.file_fields(files(spark, *rows)), bucket=100)
     assert parts.where("before is null").count() == 1
     assert len(wide) == 2 * 299
+
+
+def test_vector_fields_and_guessed_renames(spark):
+    f = files(
+        spark, ("t", "p1", 1, schema([(1, "id", "int"), (2, "text", "string"), (3, "emb", "list<float>")])), ("t", "p2", 2, schema([(0, "id", "int"), (0, "body", "string"), (0, "emb", "list<float>")], False)),
+        ("t", "p3", 3, schema([(0, "id", "int"), (0, "passage", "string"), (0, "vec", "list<float>")], False)), ("u", "q1", 1, schema([(1, "a", "int")])),
+        ("u", "q2", 2, schema([(0, "b", "int"), (0, "c", "int")], False)),
+    )
+    vectors = spark.createDataFrame([("t", "p1", "EMB"), ("t", "p2", "emb"), ("t", "p3", "vec"), ("t", "p3", "vec"), ("x", "none", None)], "table_key string, path string, vector_column string")
+    got = {(r["path"], r["name"]): r["canonical"] for r in drift.field_lineage(f, vectors).collect()}
+    assert got["p1", "emb"] == got["p2", "emb"] == got["p3", "vec"] == "embedding"
+    assert got["p2", "body"] == "text" and got["p3", "passage"] == "passage"  # two fields changed at once: no guess
+    assert got["q2", "b"] == "b" and got["q2", "c"] == "c"
