@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import collections
 import datetime as dt
 import os
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodevec.operators import bm25, context, fusion, knn, memory
 from lodevec.plans import estimate as _estimate
@@ -200,6 +203,50 @@ class Agent:
         return assemble_context(chunks, max_tokens)
 
 
+class WorkingMemoryBuffer:
+    """The last ``capacity`` memories of a process: the oldest is evicted, a search compares all of them, a drain writes them to a table."""
+
+    def __init__(self, capacity: int):
+        if capacity < 1:
+            raise ValueError("capacity must be positive")
+        self.entries: collections.deque = collections.deque(maxlen=capacity)
+
+    def push(self, text: str, embedding: Sequence[float], importance: float = 0.5) -> None:
+        self.entries.append((text, [float(x) for x in embedding], min(max(float(importance), 0.0), 1.0)))
+
+    def search(self, query: Sequence[float], k: int = 5) -> list[tuple[float, str]]:
+        """(cosine distance, text), nearest first, the older first among equals; 1 for a zero vector."""
+        q, out = np.asarray(query, float), []
+        for i, (text, v, _) in enumerate(self.entries):
+            n = np.linalg.norm(q) * np.linalg.norm(v)
+            out.append((1.0 if n == 0 else 1 - float(q @ np.asarray(v)) / n, i, text))
+        return [(d, t) for d, _, t in sorted(out)[: max(k, 0)]]
+
+    def drain_to_table(self, table: Table, text: str = "text", vector: str = "embedding", importance: str | None = None) -> int | None:
+        """Append all entries and forget them; they stay if the append fails."""
+        names = [text, vector, *([importance] if importance else [])]
+        schema = T.StructType([table.schema()[n] for n in names])
+        done = table.append(table.spark.createDataFrame([e[: len(names)] for e in self.entries], schema))
+        self.entries.clear()
+        return done
+
+
+def model_tag(tag: str) -> tuple[str, str | None]:
+    """(name, version) of ``name@version``."""
+    name, at, version = tag.partition("@")
+    return name, version if at else None
+
+
+def check_model(table: Table, column: str, dim: int, model: str | None = None) -> str | None:
+    """An error for another dimension than the column's; a warning text for another model name."""
+    spec = next((v for v in table.meta["vectors"] if v["name"] == column), None)
+    if spec is None or spec["dim"] != dim:
+        raise ValueError(f"model mismatch: {column} has {spec['dim'] if spec else 'no'} components, not {dim}")
+    if model and spec["model"] and model_tag(model)[0] != model_tag(spec["model"])[0]:
+        return f"vectors of {model} meet a column of {spec['model']}"
+    return None
+
+
 def decay_memories(table: Table, as_of: Column, rate: float = memory.WEEKLY, into: str = "recency_weight") -> int | None:
     """Store the recency weight of every row; the column is added if it is missing."""
     if into not in {f.name for f in table.schema().fields}:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions import quant, text, vectors
-from lodevec.operators import bm25, context, fusion, ivf, knn, memory
+from lodevec.operators import bm25, context, fusion, graph, ivf, knn, memory
 from lodevec.plans import estimate, prune
 from lodevec.session import shared_folder, spread, table
 from lodevec.sources.table import Table, VectorColumn
@@ -259,6 +259,13 @@ def ivf_residual_search(spark, d):
     return hits.select("vec_id", "cell", _r("_distance").alias("dist"))
 
 
+@query()
+def graph_search(spark, d):
+    """Navigable graph: the ten nearest rows to three queries."""
+    index = graph.build(_emb(spark, d), "vec_id", shard_rows=5000)
+    return graph.search(index, [_vector(spark, d, i) for i in (0, 1, 2)], 10).withColumn("distance", _r("distance"))
+
+
 @query()
 def ivf_cells(spark, d):
     e = _emb(spark, d)

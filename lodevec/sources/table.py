@@ -178,9 +178,10 @@ class Table:
         if parts:
             for p in parts:
                 out = out.withColumn(f"p_{ids[p]}", F.col(ids[p]).cast("string"))
-            out.write.partitionBy(*[f"p_{ids[p]}" for p in parts]).parquet(folder)
+            write = out.write.partitionBy(*[f"p_{ids[p]}" for p in parts])
         else:
-            out.write.parquet(folder)
+            write = out.write
+        write.option("compression", meta["properties"].get("compression", "zstd")).parquet(folder)
         sizes = self.log.list_files(folder)
         if not sizes:
             return []

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodevec.functions import quant, vectors
-from lodevec.operators import bm25, context, fusion, ivf, knn, memory
+from lodevec import api
+from lodevec.operators import bm25, context, fusion, graph, ivf, knn, memory
 from lodevec.plans import estimate, prune
 
 RNG = np.random.default_rng(3)
@@ -233,3 +234,27 @@ def test_estimate():
     assert rows["F32 (baseline)"]["vectors_bytes"] == 1_000_000 * 1536 * 4 and rows["F32 (baseline)"]["index_bytes"] == 1_000_000 * 16 * 18
     assert rows["PQ-only (--pq-only)"]["total_bytes"] == 48_000_000
     assert estimate.parse_rows("1.5k") == 1500 and estimate.parse_rows("2_000") == 2000 and estimate.parse_rows("3G") == 3 * 10**9
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+def test_graph_recall(points, metric):
+    x, df = points
+    index = graph.build(df, metric=metric, shard_rows=150, links=8, width=60)
+    assert index.count() == 3
+    qs = [x[i] + 0.05 for i in range(0, 400, 40)]
+    found = graph.search(index, qs, 10, 60, metric).collect()
+    hits = sum(r["key"] in set(brute(metric, qs[r["query_no"]], x)[:10].tolist()) for r in found)
+    assert hits >= 0.93 * 10 * len(qs)
+    g = graph.Graph.from_bytes(index.first()["graph"], metric)
+    again = graph.Graph.from_bytes(g.to_bytes(), metric)
+    assert again.search(x[0], 5, 50) == g.search(x[0], 5, 50)
+    assert graph.search(index.where("false"), qs, 3).count() == 0
+
+
+def test_working_memory_buffer():
+    b = api.WorkingMemoryBuffer(2)
+    for i, t in enumerate("abc"):
+        b.push(t, [float(i), 1.0], 7)
+    assert [t for _, t in b.search([1.0, 1.0], 5)] == ["b", "c"] and b.search([0.0, 0.0], 1)[0][0] == 1.0
+    assert all(e[2] == 1.0 for e in b.entries) and b.search([1.0, 1.0], 0) == []
+    assert api.model_tag("a@b@c") == ("a", "b@c") and api.model_tag("a") == ("a", None)

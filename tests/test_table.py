@@ -229,6 +229,13 @@ def test_api(spark, table, tmp_path):
     assert got["text"] == "hello" and got["importance"] == 1.0 and "<context>" in agent.assemble_context("hello")
     with pytest.raises(ValueError):
         agent.log_tool_call("x", "", "", "maybe")
+    buffer = api.WorkingMemoryBuffer(9)
+    buffer.push("kept", [1.0, 1.0])
+    buffer.drain_to_table(table)
+    assert not buffer.entries and "kept" in {r["text"] for r in table.scan().collect()}
+    assert api.check_model(table, "embedding", 2, "any@v1") is None
+    with pytest.raises(ValueError):
+        api.check_model(table, "embedding", 3)
     api.decay_memories(agent.table, F.current_timestamp())
     assert agent.table.scan().where("recency_weight = 1").count() == 2
 
