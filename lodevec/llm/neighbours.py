@@ -30,6 +30,7 @@ SAMPLE_ROWS = 65_536
 CELL_ROWS = 48
 BLOCK_ROWS = 100_000
 DEEP_ROWS = 10_000
+MIN_VISITS = 8
 MAX_CENTRES = 2048
 
 
@@ -328,7 +329,7 @@ def top_similar(
     vectors: DataFrame,
     k: int = 5,
     least: float = -1.0,
-    visits: int = 8,
+    visits: int | None = None,
     deep_share: float | None = None,
     every: int | None = None,
     dim: int = DIM,
@@ -338,7 +339,8 @@ def top_similar(
     """(id, other, similarity, rank): the ``k`` most similar others of each row, ties to the lower id.
 
     ``vectors`` has (id, vec) with unique ids, see ``current_vectors``.  With ``least`` only
-    neighbours of at least that similarity count: then ``visits`` cells a row are enough.  With
+    neighbours of at least that similarity count: then ``visits`` cells a row are enough (by default 8, and more in
+    proportion once there are over 192 centroids a half, as smaller cells part near rows more often).  With
     ``deep_share`` and ``every`` the queries are the rows whose id is divisible by ``every``, and
     each visits cells in heap order until they hold that share of all rows (10,000 rows at least).  A row alone has
     no neighbours; an empty table gives none.  Exact copies are neighbours of each other; of more than k + 1
@@ -349,6 +351,7 @@ def top_similar(
     vectors = cut_lineage(vectors.select("id", "vec"))
     n = vectors.count()
     index = fit(vectors, n, dim, sample_rows)
+    visits = visits or max(MIN_VISITS, len(index.first) // 24)
     _measure(index, vectors, block_rows)
     every = None if deep_share is None else every or 1
     spread = vectors.mapInArrow(
