@@ -300,14 +300,19 @@ class Table:
         if snap["positions"]:
             gone = self.spark.read.parquet(*snap["positions"]).distinct()
             out = out.join(gone, [FILE, POSITION], "left_anti")
+        # one anti-join for each set of columns: a row is deleted if the latest delete of its values is later than its file
+        by_id = {f["id"]: f["name"] for f in fields}
+        sets: dict[tuple[str, ...], DataFrame] = {}
         for d in snap["equality"]:
-            values = self.spark.read.parquet(d["path"])
-            by_id = {f["id"]: f["name"] for f in fields}
-            cond = F.col("__seq") < F.lit(d["sequence"])
-            renamed = values.select(*[F.col(c).alias(f"__d_{c}") for c in values.columns])
-            for c in values.columns:
+            values = self.spark.read.parquet(d["path"]).withColumn("__dseq", F.lit(d["sequence"]).cast("long"))
+            columns = tuple(sorted(c for c in values.columns if c != "__dseq"))
+            sets[columns] = sets[columns].unionByName(values) if columns in sets else values
+        for columns, values in sets.items():
+            latest = values.groupBy(*[F.col(c).alias(f"__d_{c}") for c in columns]).agg(F.max("__dseq").alias("__dseq"))
+            cond = F.col("__seq") < F.col("__dseq")
+            for c in columns:
                 cond = cond & (F.col(by_id[int(c[1:])]) == F.col(f"__d_{c}"))
-            out = out.join(renamed, cond, "left_anti")
+            out = out.join(latest, cond, "left_anti")
         if not with_identity:
             return out.select(*names)
         return out.select(*names, FILE, POSITION, F.coalesce("__kept", F.col("first_row_id") + F.col(POSITION)).alias(ROW_ID))
@@ -359,7 +364,7 @@ class Table:
     def rewrite(self, change: Callable[[DataFrame], DataFrame] | None = None, paths: Sequence[str] | None = None, partitions: int | None = None, operation: str = "replace") -> int | None:
         """Write the live rows of some files (all by default) anew and put them in place of the old, keeping row ids.
 
-        Deletes are applied on the way.  If another writer deleted rows of these files or replaced them meanwhile, the call fails and
+        Deletes are applied on the way, and delete sets that can touch no remaining file are dropped.  If another writer deleted rows of these files or replaced them meanwhile, the call fails and
         changes nothing.
         """
         meta = self.meta
@@ -386,8 +391,13 @@ class Table:
                 raise RuntimeError("files were replaced by another writer; nothing was changed")
             keep = f"{self.root}/manifests/{uuid.uuid4().hex}"
             rest.where(~F.col("path").isin(list(old))).coalesce(1).write.parquet(keep)
-            whole = not entries
-            return {"manifests": [keep] if whole else [keep, self._manifest([e | {"first_row_id": 0} for e in entries], sequence, first)]}
+            oldest = rest.where(~F.col("path").isin(list(old))).agg(F.min("sequence_number")).first()[0]
+            made = {"manifests": [keep], "equality": [d for d in parent["equality"] if oldest is not None and oldest < d["sequence"]]}
+            if oldest is None:
+                made["positions"] = []
+            if entries:
+                made["manifests"].append(self._manifest([e | {"first_row_id": 0} for e in entries], sequence, first))
+            return made
 
         return self._commit(operation, build)
 

@@ -74,6 +74,18 @@ def test_deletes_only_reach_back(spark, table):
     assert table.scan().count() == 0 and table.compact(min_files=1) is not None
 
 
+def test_many_deletes_are_one_join(spark, table):
+    for i in range(4):
+        table.append(frame(spark, (1, f"a{i}"), (2, f"b{i}"), (i + 10, "c")))
+        table.delete_where({"id": [1]})
+    table.delete_where({"text": ["b0"]})
+    assert content(table.scan()) == [(2, "b1"), (2, "b2"), (2, "b3"), (10, "c"), (11, "c"), (12, "c"), (13, "c")]
+    plan = table.scan()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 2
+    table.compact(min_files=1)
+    assert table._snapshot()["equality"] == [] and table.scan().count() == 7
+
+
 def test_rewrites_keep_rows_and_ids(spark, table):
     for i in range(5):
         table.append(frame(spark, (i, f"t{i}"), (i + 10, "x")))
