@@ -68,7 +68,6 @@ def train(
 
 def build(df: DataFrame, index: IvfIndex, vector: str = "embedding") -> DataFrame:
     """``df`` with ``cell`` and, with codebooks, ``codes``; rows with a null vector have cell -1 and are never found."""
-    v = normalize(vector) if index.metric == "cosine" else as_column(vector)
 
     @F.pandas_udf("cell int, codes array<int>")
     def place(s: pd.Series) -> pd.DataFrame:
@@ -76,6 +75,9 @@ def build(df: DataFrame, index: IvfIndex, vector: str = "embedding") -> DataFram
         cell, codes = np.full(len(s), -1, np.int32), [None] * len(s)
         if ok.any():
             x = np.stack(s[ok].to_numpy())
+            if index.metric == "cosine":
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.where(n * n < 1e-12, x, x / np.where(n > 0, n, 1))
             c = (x @ index.centres.T - 0.5 * (index.centres * index.centres).sum(1)).argmax(1)
             cell[ok] = c
             if index.pq is not None:
@@ -84,7 +86,8 @@ def build(df: DataFrame, index: IvfIndex, vector: str = "embedding") -> DataFram
                     codes[i] = g
         return pd.DataFrame({"cell": cell, "codes": codes})
 
-    out = df.withColumn("__p", place(v)).withColumn("cell", F.col("__p.cell"))
+    # the argument is a plain column: a Python function over lambda expressions cannot be drawn out of an aggregate's grouping
+    out = df.withColumn("__p", place(as_column(vector))).withColumn("cell", F.col("__p.cell"))
     if index.pq is not None:
         out = out.withColumn("codes", F.col("__p.codes"))
     return out.drop("__p")
