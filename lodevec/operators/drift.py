@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodevec.session import cut_lineage
+
 # Spellings of the types.
 TYPE_NAMES = {
     "int": "int", "integer": "int", "int32": "int",
@@ -144,29 +146,65 @@ def guessed_renames(files: DataFrame) -> DataFrame:
 def field_lineage(files: DataFrame, vectors: DataFrame | None = None, vector_name: str = "embedding") -> DataFrame:
     """For each file and field: ``canonical`` name, the first one its lineage had.
 
-    A lineage is a field id within a table.  A file that lists no ids lends them from the latest file of the table in which the
-    name had one, else (up to two steps back) from the name it seems to have replaced, see :func:`guessed_renames`; else the name
-    itself is the lineage.  ``vectors`` (table_key, path, vector_column) tells each file's vector field, which is called ``vector_name``.
+    A lineage is a field id within a table.  A file that lists no ids lends them: from the id that last took the name by
+    then (else from the first one that took it later), else (up to two steps back) from the name it seems to have replaced,
+    see :func:`guessed_renames`; else the name itself is the lineage.  ``vectors`` (table_key, path, vector_column) tells each
+    file's vector field, which is called ``vector_name``; in a file without such an entry it is the field of that lineage or name.
+
+    Different fields of a file are of different lineages: where two claim one, an id goes before a lent one and that before a
+    guess, and the other field is a lineage by itself.  Lineages of a table have different canonical names: of those
+    with one first name the vector, then the oldest, keeps it, the others are called ``name#2``, ``name#3`` and so on.
     """
     each = file_fields(files).select("table_key", "path", "sequence_number", F.explode("fields").alias("f"))
     each = each.select("table_key", "path", "sequence_number", F.col("f.id").alias("id"), F.col("f.name").alias("name"), F.col("f.type").alias("type"))
     with_id = each.where(F.col("id").isNotNull())
-    known = with_id.groupBy("table_key", "name").agg(F.max_by("id", "sequence_number").alias("known_id"))
+    known = with_id.groupBy("table_key", "name", "id").agg(F.min("sequence_number").alias("since"))
+    known = known.groupBy("table_key", "name").agg(F.array_sort(F.collect_list(F.struct("since", "id"))).alias("owners"))
     first = with_id.groupBy(F.col("table_key"), F.col("id").alias("lineage")).agg(F.min_by("name", F.struct("sequence_number", "name")).alias("first_name"))
     guess = guessed_renames(files)
     older = guess.select("table_key", F.col("name").alias("was"), F.col("was").alias("was2"))
     guess = guess.join(older, ["table_key", "was"], "left")
     for step, name in ((1, "was"), (2, "was2")):
-        guess = guess.join(known.select("table_key", F.col("name").alias(name), F.col("known_id").alias(f"id{step}")), ["table_key", name], "left")
-    guess = guess.select("table_key", "name", F.coalesce("id1", "id2").alias("guessed_id"), F.coalesce("was2", "was").alias("oldest"))
+        guess = guess.join(known.select("table_key", F.col("name").alias(name), F.col("owners").alias(f"owners{step}")), ["table_key", name], "left")
+    guess = guess.select("table_key", "name", F.coalesce("owners1", "owners2").alias("older_owners"), F.coalesce("was2", "was").alias("oldest"))
+
+    def owner(column: str) -> Column:
+        by_then = F.filter(column, lambda o: o["since"] <= F.col("sequence_number"))
+        return F.coalesce(F.try_element_at(by_then, F.lit(-1)), F.get(column, 0))["id"]
+
     each = each.join(known, ["table_key", "name"], "left").join(guess, ["table_key", "name"], "left")
-    each = each.withColumn("lineage", F.coalesce("id", "known_id", "guessed_id")).join(first, ["table_key", "lineage"], "left")
-    canonical = F.coalesce("first_name", F.when(F.col("id").isNull() & F.col("known_id").isNull(), F.col("oldest")), "name")
+    each = each.withColumn("lineage", F.coalesce("id", owner("owners"), owner("older_owners"))).join(first, ["table_key", "lineage"], "left")
+    base = F.coalesce("first_name", F.when(F.col("id").isNull() & F.col("owners").isNull(), F.col("oldest")), "name")
+    own = F.col("id").isNotNull() | F.col("owners").isNotNull() | (base == F.col("name"))
+    each = each.select(
+        "table_key", "path", "sequence_number", "name", "type", base.alias("base"),
+        F.coalesce(F.concat(F.lit("id "), F.col("lineage").cast("string")), F.concat(F.lit("name "), base)).alias("lineage"),
+        F.when(F.col("id").isNotNull(), 0).when(own, 1).otherwise(2).alias("claim"),
+    )
+    file = ["table_key", "path", "sequence_number"]
     if vectors is not None:
         v = vectors.select("table_key", "path", F.lower(F.trim("vector_column")).alias("__v")).where("__v is not null").groupBy("table_key", "path").agg(F.max("__v").alias("__v"))
-        each = each.join(v, ["table_key", "path"], "left")
-        canonical = F.when(F.col("name") == F.col("__v"), F.lit(vector_name)).otherwise(canonical)
-    return each.select("table_key", "path", "sequence_number", "name", "type", canonical.alias("canonical"))
+        each = each.join(v, ["table_key", "path"], "left").withColumn("named", F.coalesce(F.col("name") == F.col("__v"), F.lit(False)))
+        known_vectors = each.where("named").select("table_key", "lineage", F.lit(True).alias("known_vector")).distinct()
+        each = each.join(known_vectors, ["table_key", "lineage"], "left").withColumn("has", F.max("named").over(Window.partitionBy(*file)))
+        other = ~F.col("has") & (F.coalesce("known_vector", F.lit(False)) | (F.col("name") == vector_name))
+        is_vector = F.col("named") | other
+        # by lineage before by name alone
+        each = each.withColumn("claim", F.when(other, F.when(F.col("known_vector"), 0).otherwise(3)).otherwise(F.col("claim")))
+        each = each.withColumn("held", F.row_number().over(Window.partitionBy(*file, is_vector).orderBy("claim", "name")) == 1)
+        is_vector = is_vector & F.col("held")
+        each = each.withColumn("lineage", F.when(is_vector, F.lit("vector")).otherwise(F.col("lineage"))).withColumn("base", F.when(is_vector, F.lit(vector_name)).otherwise(F.col("base")))
+    claims = Window.partitionBy(*file, "lineage").orderBy("claim", F.col("name") != F.col("base"), "name")
+    each = each.withColumn("lost", F.row_number().over(claims) > 1)
+    each = each.withColumn("lineage", F.when(F.col("lost"), F.concat(F.lit("field "), F.col("name"))).otherwise(F.col("lineage"))).withColumn("base", F.when(F.col("lost"), F.col("name")).otherwise(F.col("base")))
+    lineages = each.groupBy("table_key", "base", "lineage").agg(F.min("sequence_number").alias("since"))
+    at = F.row_number().over(Window.partitionBy("table_key", "base").orderBy(F.col("lineage") != "vector", "since", "lineage"))
+    lineages = lineages.withColumn("at", at)
+    # a name that looks like one with a number always gets a number, so that no two can be the same
+    plain = (F.col("at") == 1) & ~F.col("base").rlike(r"#\d+$")
+    lineages = lineages.select(F.col("table_key").alias("__t"), F.col("base").alias("__b"), F.col("lineage").alias("__l"), F.when(plain, F.col("base")).otherwise(F.concat_ws("#", "base", F.col("at").cast("string"))).alias("canonical"))
+    same = F.col("table_key").eqNullSafe(F.col("__t")) & (F.col("base") == F.col("__b")) & (F.col("lineage") == F.col("__l"))
+    return each.join(lineages, same).select("table_key", "path", "sequence_number", "name", "type", "canonical")
 
 
 def union_schema(files: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
@@ -174,7 +212,10 @@ def union_schema(files: DataFrame, vectors: DataFrame | None = None) -> DataFram
 
     The set of types of a name is tiny, so the fold runs on a set that was built on the map side.
     """
-    fields = field_lineage(files, vectors)
+    return _union(field_lineage(files, vectors))
+
+
+def _union(fields: DataFrame) -> DataFrame:
     grouped = fields.groupBy(F.col("canonical").alias("field_name")).agg(
         F.collect_set("type").alias("types"), F.collect_set("name").alias("names"), F.count(F.lit(1)).alias("n_files")
     )
@@ -196,30 +237,28 @@ def read_drifting(files: DataFrame, records: DataFrame, vectors: DataFrame | Non
     """All records in one table with the union's fields, cast to the union's types.
 
     ``table_key, path, row_no`` stay; then one column for each field of the union (a name that
-    clashes with those gets the suffix ``_field``), then ``_damaged``, the raw record where it is no
-    JSON object.  Values that cannot be cast are null; repeated records come once; records of
+    clashes with the fixed ones gets the suffix ``_field``), then ``_damaged``, the raw record where it is no
+    JSON object, and ``_rest``, the name and text of every value that has no column (JSON; null if there is none).  Values that cannot be cast are null; repeated records come once; records of
     files without a schema keep their names.  The field names (not the records) are collected:
     their number is bounded by the design of the feeds, and checked.
     """
-    fields = union_schema(files, vectors).select("field_name", "field_type").orderBy("field_name").limit(10_001).collect()
+    lineage = cut_lineage(field_lineage(files, vectors))  # read twice
+    fields = _union(lineage).select("field_name", "field_type").orderBy("field_name").limit(10_001).collect()
     if len(fields) > 10_000:
         raise ValueError("more than 10,000 different fields: this is no drifting table")
-    names = (
-        field_lineage(files, vectors)
-        .groupBy("table_key", "path")
-        .agg(F.collect_set(F.struct("name", "canonical")).alias("__names"))
-    )
+    names = lineage.groupBy("table_key", "path").agg(F.collect_set(F.struct("name", "canonical")).alias("__names"))
     rows = records.select("table_key", "path", "row_no", "record").distinct().join(names, ["table_key", "path"], "left")
     parsed = F.from_json("record", "map<string,string>")
     entries = F.transform(
-        F.map_entries(parsed),
+        F.filter(F.map_entries(parsed), lambda e: e["value"].isNotNull()),
         lambda e: F.struct(
             F.coalesce(F.get(F.filter("__names", lambda n: n["name"] == F.lower(e["key"])), 0)["canonical"], F.lower(e["key"])).alias("key"),
             e["value"].alias("value"),
+            e["key"].alias("name"),
         ),
     )
     rows = rows.withColumn("__entries", entries)
-    kept = {"table_key", "path", "row_no"}
+    kept = {"table_key", "path", "row_no", "_damaged", "_rest"}
     columns = []
     def value_of(name: str) -> Column:
         return F.get(F.filter("__entries", lambda e: e["key"] == F.lit(name)), 0)["value"]
@@ -229,4 +268,9 @@ def read_drifting(files: DataFrame, records: DataFrame, vectors: DataFrame | Non
         value = F.from_json(raw, "array<float>") if kind == "list<float>" else raw.try_cast(SQL_TYPE[kind])
         columns.append(value.alias(f"{name}_field" if name in kept else name))
     damaged = F.when(F.col("__entries").isNull(), F.col("record")).alias("_damaged")
-    return rows.select("table_key", "path", "row_no", *columns, damaged)
+    listed = F.array(*[F.lit(name) for name, _ in fields]).cast("array<string>")
+    keys = F.transform("__entries", lambda e: e["key"])
+    rest = F.filter("__entries", lambda e, i: ~F.array_contains(listed, e["key"]) | (F.array_position(keys, e["key"]) != i + 1))
+    rest = F.transform(rest, lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value")))
+    rest = F.when(F.size(rest) > 0, F.to_json(rest)).alias("_rest")
+    return rows.select("table_key", "path", "row_no", *columns, damaged, rest)

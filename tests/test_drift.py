@@ -97,3 +97,36 @@ def test_vector_fields_and_guessed_renames(spark):
     assert got["p1", "emb"] == got["p2", "emb"] == got["p3", "vec"] == "embedding"
     assert got["p2", "body"] == "text" and got["p3", "passage"] == "passage"  # two fields changed at once: no guess
     assert got["q2", "b"] == "b" and got["q2", "c"] == "c"
+
+
+def test_a_name_that_is_used_again(spark):
+    f = files(
+        spark, ("t", "p1", 1, schema([(4, "agent_id", "string"), (5, "n", "int")])), ("t", "p2", 2, schema([(0, "agent_id", "string"), (0, "n", "int")], False)),
+        ("t", "p3", 3, schema([(4, "agent_key", "string"), (9, "agent_id", "int"), (5, "n", "int")])), ("t", "p4", 4, schema([(0, "agent_key", "string"), (0, "agent_id", "int")], False)),
+        ("u", "q1", 1, schema([(9, "agent_id", "string"), (2, "agent_id#2", "string")])),
+    )
+    records = spark.createDataFrame(
+        [
+            ("t", "p1", 0, '{"agent_id": "a"}'), ("t", "p2", 0, '{"agent_id": "b"}'), ("t", "p3", 0, '{"agent_key": "c", "agent_id": 7, "n": 1}'), ("t", "p3", 1, '{"agent_id": 8, "agent_key": null, "more": [1]}'),
+            ("t", "p4", 0, '{"agent_id": 9, "agent_key": "d"}'), ("u", "q1", 0, '{"agent_id": "e", "agent_id#2": "f"}'), ("u", "q1", 1, '{"AGENT_ID": "g", "agent_id": "h"}'), ("u", "q1", 2, "{"),
+        ],
+        "table_key string, path string, row_no int, record string",
+    )
+    got = {(r["path"], r["row_no"]): r for r in drift.read_drifting(f, records).collect()}
+    assert [got[p, 0]["agent_id"] for p in ("p1", "p2", "p3", "p4", "q1")] == ["a", "b", "c", "d", "e"]
+    assert [got[p, i]["agent_id#2"] for p, i in (("p1", 0), ("p2", 0), ("p3", 0), ("p3", 1), ("p4", 0), ("q1", 0))] == [None, None, 7, 8, 9, None]
+    assert got["q1", 0]["agent_id#2#1"] == "f" and got["p3", 1]["agent_id"] is None
+    assert json.loads(got["p3", 1]["_rest"]) == [{"name": "more", "value": "[1]"}]
+    assert got["q1", 1]["agent_id"] == "g" and json.loads(got["q1", 1]["_rest"]) == [{"name": "agent_id", "value": "h"}]
+    assert all(r["_rest"] is None for k, r in got.items() if k not in (("p3", 1), ("q1", 1))) and got["q1", 2]["_damaged"] == "{"
+
+
+def test_fields_of_a_file_have_different_columns(spark):
+    f = files(
+        spark, ("t", "p1", 1, schema([(1, "id", "int"), (2, "text", "string"), (3, "vec", "list<float>")])), ("t", "p2", 2, schema([(0, "id", "int"), (0, "body", "string"), (0, "vec", "list<float>")], False)),
+        ("t", "p3", 3, schema([(0, "text", "string"), (0, "body", "string")], False)), ("t", "p4", 4, schema([(3, "vec", "list<float>"), (6, "embedding", "string")])),
+    )
+    vectors = spark.createDataFrame([("t", "p1", "vec"), ("t", "p4", "vec")], "table_key string, path string, vector_column string")
+    got = {(r["path"], r["name"]): r["canonical"] for r in drift.field_lineage(f, vectors).collect()}
+    assert got["p1", "vec"] == got["p2", "vec"] == got["p4", "vec"] == "embedding" and got["p4", "embedding"] == "embedding#2"
+    assert got["p2", "body"] == got["p3", "text"] == "text" and got["p3", "body"] == "body"
