@@ -209,6 +209,27 @@ def test_divided_cells_agree():
     assert (clusters.local_clusters(same, np.ones(2000), 0.68, 6, 0.05, limit=300) >= 0).all()
 
 
+def test_small_group_beside_a_dense_cell():
+    rng = np.random.default_rng(12)
+    hot, small, other = clusters._unit(rng.normal(size=(3, 64)))
+    small = clusters._unit((hot * 0.5 + small * 0.9)[None])[0]
+    x = np.concatenate([hot + rng.normal(size=(6000, 64)) * 0.06, small + rng.normal(size=(30, 64)) * 0.06, other + rng.normal(size=(25, 64)) * 0.06, rng.normal(size=(300, 64))])
+    x = clusters._unit(x).astype(np.float32)
+    w = np.ones(len(x))
+    for limit in (600, 2000, 10_000):
+        got = clusters.even_clusters(x, x, w, 0.68, 6, 0.02, 0.8, limit)
+        for a, b in ((0, 6000), (6000, 6030), (6030, 6055)):
+            values, n = np.unique(got[a:b][got[a:b] >= 0], return_counts=True)
+            assert len(n) and n.max() >= 0.75 * (b - a), (limit, a)
+            assert (got == values[n.argmax()]).sum() == n.max()
+    one = clusters.density_labels(x, w, 0.68, 6)
+    wide = clusters.wide_labels(x, w, 0.68, 6)
+    assert ((one < 0) == (wide < 0)).all() and len(set(zip(one, wide))) == len(set(one)) == len(set(wide))
+    # a dense crowd that space does not part is not thinned out either
+    crowd = clusters.local_clusters(x, w, 0.68, 6, 0.5, limit=600)
+    assert ((crowd < 0) == (one < 0)).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (102, 100), (200, 300), (7, 7)] + [(1000, j) for j in range(1001, 1100)]
     df = spark.createDataFrame(edges, "a long, b long")
