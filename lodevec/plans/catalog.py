@@ -326,11 +326,19 @@ def term_file_prune(spark, d):
     return bm25.prune_by_terms(bm25.file_terms(files, "file"), WORDS, "file")
 
 
-@query()
+@query(
+    f"""{_DOCS}, t as (select distinct doc_id % 500 file, unnest(t) term from n), f as (select file, max((term in ('lease', 'quorum'))::int) has from t group by file)
+select count(*) files, sum(has)::bigint with_word, sum(has)::bigint kept_with_word from f"""
+)
 def bloom_file_prune(spark, d):
-    files = _docs(spark, d).withColumn("file", F.col("doc_id") % 20)
-    filters = prune.bloom_filters(bm25.file_terms(files, "file"), "file")
-    return prune.by_bloom(filters, bm25.query_tokens(WORDS)).select("file")
+    """No file that holds a word of the query is ruled out by its filter."""
+    files = _docs(spark, d).withColumn("file", F.col("doc_id") % 500)
+    terms = bm25.file_terms(files, "file")
+    words = ["lease", "quorum"]
+    kept = prune.by_bloom(prune.bloom_filters(terms, "file"), words).select("file", F.lit(1).alias("kept"))
+    has = terms.groupBy("file").agg(F.max(F.col("term").isin(words).cast("int")).alias("has"))
+    both = has.join(kept, "file", "left")
+    return both.agg(F.count(F.lit(1)).alias("files"), F.sum("has").alias("with_word"), F.sum(F.col("has") * F.coalesce("kept", F.lit(0))).alias("kept_with_word"))
 
 
 @query(

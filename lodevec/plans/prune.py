@@ -8,12 +8,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.functions.vectors import distance
 
+WORD_BITS = 64
+
 
 def by_geometry(files: DataFrame, query: Sequence[float], threshold: float = math.inf, metric: str = "euclidean", centroid: str = "centroid", radius: str = "radius") -> DataFrame:
     """Files that may hold a row within ``threshold``: distance to the centroid minus radius at most that.
@@ -33,73 +34,52 @@ def by_partition(files: DataFrame, value: str | None, column: str = "partition_v
     return files if value is None else files.where(F.col(column) == value)
 
 
-MASK = (1 << 64) - 1
-# Fixed values of the 64-bit FNV-1a hash.
-FNV_PRIME, FNV_OFFSET = 0x100000001B3, 0xCBF29CE484222325
-
-
-def _fnv(data: bytes, seed: int) -> int:
-    h = FNV_OFFSET ^ seed
-    for b in data:
-        h = (h ^ b) * FNV_PRIME & MASK
-    return h
-
-
-class Bloom:
-    """Bloom filter of terms: four places by double hashing, sized for a false-positive rate; absent terms are never missed."""
-
-    def __init__(self, capacity: int, rate: float = 0.01):
-        bits = max(64, math.ceil(-max(1, capacity) * math.log(rate) / math.log(2) ** 2))
-        self.n = -(-bits // 64) * 64
-        self.bits = bytearray(self.n // 8)
-
-    def _places(self, term: str) -> list[int]:
-        data = term.encode()
-        a, b = _fnv(data, 0), _fnv(data, FNV_OFFSET)
-        return [((a + i * b) & MASK) % self.n for i in range(4)]
-
-    def add(self, term: str) -> None:
-        for p in self._places(term):
-            self.bits[p // 8] |= 1 << p % 8
-
-    def may_contain(self, term: str) -> bool:
-        return all(self.bits[p // 8] >> p % 8 & 1 for p in self._places(term))
-
-    def to_bytes(self) -> bytes:
-        return self.n.to_bytes(8, "little") + bytes(self.bits)
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> Bloom | None:
-        n = int.from_bytes(data[:8], "little") if len(data) >= 8 else 0
-        if n == 0 or n % 64 or len(data) < 8 + n // 8:
-            return None
-        out = cls(1)
-        out.n, out.bits = n, bytearray(data[8 : 8 + n // 8])
-        return out
+def _places(term: Column, hashes: int, words: Column) -> Column:
+    """The bits of a term in a filter of ``words`` words: one seeded hash for each of ``hashes`` places."""
+    return F.array(*[F.pmod(F.xxhash64(term, F.lit(i)), words * WORD_BITS) for i in range(hashes)])
 
 
 def bloom_filters(terms: DataFrame, file: str, term: str = "term", rate: float = 0.01) -> DataFrame:
-    """(file, bloom): one filter for each file from its distinct terms."""
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Bloom(len(pdf), rate)
-        for t in pdf[term]:
-            b.add(t)
-        return pd.DataFrame({file: [pdf[file].iloc[0]], "bloom": [b.to_bytes()]})
-
-    kind = terms.schema[file].dataType.simpleString()
-    return terms.select(file, term).distinct().groupBy(file).applyInPandas(build, f"{file} {kind}, bloom binary")
-
+    """(file, bloom): one filter for each file from its distinct terms, an array of 64-bit words.
 
-def by_bloom(files: DataFrame, words: Iterable[str], column: str = "bloom") -> DataFrame:
-    """Files of which any word may be a term; files without a filter stay."""
-    wanted = list(words)
-
-    @F.pandas_udf("boolean")
-    def may(s: pd.Series) -> pd.Series:
-        def one(data):
-            b = Bloom.from_bytes(data) if data is not None else None
-            return b is None or any(b.may_contain(w) for w in wanted)
-
-        return s.map(one).astype(bool)
-
-    return files.where(may(column))
+    The words are sized for the false-positive ``rate``; a term that is in a file is never missed.  Bits are set
+    by a grouped ``bit_or``, which combines before its shuffle, so a file of any number of terms is no single task's.  Null terms
+    and null files take no part.
+    """
+    hashes = hash_count(rate)
+    each = terms.select(file, term).where(F.col(file).isNotNull() & F.col(term).isNotNull()).distinct()
+    bits_per_term = -math.log(rate) / math.log(2) ** 2
+    sizes = each.groupBy(file).agg(F.greatest(F.ceil(F.count(F.lit(1)) * bits_per_term / WORD_BITS), F.lit(1)).cast("long").alias("__words"))
+    places = each.join(sizes, file).select(file, F.explode(_places(F.col(term), hashes, F.col("__words"))).alias("__at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("__at", F.lit(WORD_BITS)).cast("int"))
+    words = places.select(file, F.floor(F.col("__at") / WORD_BITS).alias("__no"), bit.alias("__bits"))
+    empty = sizes.select(file, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__words") - 1)).alias("__no"), F.lit(0).cast("long").alias("__bits"))
+    words = words.unionByName(empty).groupBy(file, "__no").agg(F.bit_or("__bits").alias("__bits"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("__no", "__bits"))), lambda w: w["__bits"])
+    return words.groupBy(file).agg(whole.alias("bloom"))
+
+
+def hash_count(rate: float) -> int:
+    """Places a term for the least filter of this false-positive rate."""
+    return max(1, round(-math.log2(rate)))
+
+
+def may_contain(bloom: Column | str, word: Column | str, rate: float = 0.01) -> Column:
+    """Whether a filter of :func:`bloom_filters` with the same ``rate`` may hold a word; looked up in the JVM."""
+    bloom = F.col(bloom) if isinstance(bloom, str) else bloom
+    places = _places(word if isinstance(word, Column) else F.lit(word), hash_count(rate), F.size(bloom).cast("long"))
+
+    def is_set(at: Column) -> Column:
+        held = F.get(bloom, F.floor(at / WORD_BITS).cast("int"))
+        return held.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(WORD_BITS)).cast("int"))) != 0
+
+    return F.forall(places, is_set)
+
+
+def by_bloom(files: DataFrame, words: Iterable[str], column: str = "bloom", rate: float = 0.01) -> DataFrame:
+    """Files of which any word may be a term; files without a filter stay, without words none is ruled out."""
+    may = F.col(column).isNull() | (F.size(column) == 0)
+    wanted = sorted(set(words))
+    for w in wanted:
+        may = may | may_contain(column, w, rate)
+    return files.where(may) if wanted else files

@@ -169,13 +169,17 @@ def test_pruning(spark, docs):
     exact = {r["file"] for r in bm25.prune_by_terms(terms, "rust", "file").collect()}
     bloom = {r["file"] for r in prune.by_bloom(prune.bloom_filters(terms, "file"), ["rust"]).collect()}
     assert exact == {"0", "1", "2"} & exact and exact <= bloom
-    b = prune.Bloom(1000)
-    for i in range(1000):
-        b.add(f"w{i}")
-    again = prune.Bloom.from_bytes(b.to_bytes())
-    assert all(again.may_contain(f"w{i}") for i in range(1000))
-    assert sum(again.may_contain(f"x{i}") for i in range(5000)) < 150
-    assert prune.Bloom.from_bytes(b"short") is None
+    many = spark.range(3000).select(F.lit("f").alias("file"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"))
+    odd = spark.createDataFrame([("g", "only"), ("g", None), (None, "x")], "file string, term string")
+    filters = prune.bloom_filters(many.unionByName(odd), "file").cache()
+    assert {r["file"] for r in filters.collect()} == {"f", "g"}
+    words = spark.range(6000).select(F.concat(F.when(F.col("id") < 3000, "w").otherwise("x"), F.col("id").cast("string")).alias("w"))
+    found = words.crossJoin(filters.where("file = 'f'")).select("w", prune.may_contain("bloom", F.col("w")).alias("may")).toPandas()
+    assert found[found["w"].str[0] == "w"]["may"].all() and found[found["w"].str[0] == "x"]["may"].mean() < 0.03
+    assert {r["file"] for r in prune.by_bloom(filters, ["only"]).collect()} >= {"g"}
+    none = filters.select("file", F.lit(None).cast("array<long>").alias("bloom"))
+    assert prune.by_bloom(none, ["rust"]).count() == 2 and prune.by_bloom(filters, []).count() == 2
+    assert prune.bloom_filters(many.where("false"), "file").count() == 0
 
 
 def test_geometry_never_loses_a_row(points):
