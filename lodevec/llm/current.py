@@ -64,14 +64,8 @@ def unit(m: np.ndarray) -> np.ndarray:
     return (m / length[:, None]).astype(np.float32)
 
 
-def current_vectors(docs: DataFrame, key: str = "id", vector: str = "embedding", latest: str = "ingested_at", dim: int = DIM) -> DataFrame:
-    """(id, vec): one row for each id whose latest record has a usable vector.
-
-    The latest record by ``latest`` decides (null is earliest; among equal times the
-    usable vector of the highest bytes), also where its vector is unusable: then the id is left
-    out.  Null ids are left out.  ``vec`` is the raw vector, packed by :func:`pack`, half the size of
-    the array; one shuffle by id, before which each task keeps one row of an id.
-    """
+def _packed(docs: DataFrame, key: str, vector: str, latest: str, dim: int) -> DataFrame:
+    """(id, at, vec) of all rows with an id; ``vec`` is null for an unusable vector."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,7 +76,24 @@ def current_vectors(docs: DataFrame, key: str = "id", vector: str = "embedding",
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(latest).cast("timestamp").alias("at"), F.col(vector).cast("array<float>").alias("v"))
     rows = rows.where(F.col("id").isNotNull()).select("id", F.unix_micros("at").alias("at"), "v")
-    rows = rows.mapInArrow(packed, "id long, at long, vec binary")
+    return rows.mapInArrow(packed, "id long, at long, vec binary")
+
+
+def usable_vectors(docs: DataFrame, key: str = "id", vector: str = "embedding", latest: str = "ingested_at", dim: int = DIM) -> DataFrame:
+    """(id, vec) of every row with a usable vector, superseded ones included: what an index is fitted on without a shuffle."""
+    return _packed(docs, key, vector, latest, dim).where(F.col("vec").isNotNull()).select("id", "vec")
+
+
+def current_vectors(docs: DataFrame, key: str = "id", vector: str = "embedding", latest: str = "ingested_at", dim: int = DIM) -> DataFrame:
+    """(id, vec): one row for each id whose latest record has a usable vector.
+
+    The latest record by ``latest`` decides (null is earliest; among equal times the
+    usable vector of the highest bytes), also where its vector is unusable: then the id is left
+    out.  Null ids are left out.  ``vec`` is the raw vector, packed by :func:`pack`, half the size of
+    the array; one shuffle by id, before which each task keeps one row of an id.
+    """
+
+    rows = _packed(docs, key, vector, latest, dim)
     order = Window.partitionBy("id").orderBy(F.col("at").desc_nulls_last(), F.col("vec").desc_nulls_last())
     rows = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") == 1)
     return rows.where(F.col("vec").isNotNull()).select("id", "vec")

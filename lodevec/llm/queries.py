@@ -16,7 +16,8 @@ TILTS = {"tutorial": -0.6, "glossary": -0.4, "paper": 0.6}
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.similarity_groups(current.current_vectors(table(spark, d, "docs_ingest")), least=0.8, min_size=25)
+    docs = table(spark, d, "docs_ingest")
+    return clusters.similarity_groups(current.current_vectors(docs), least=0.8, min_size=25, fit_on=current.usable_vectors(docs))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -249,3 +249,38 @@ def test_order_and_medoids(spark):
     assert pairs == [(i * 40_000, (i + 1) * 40_000) for i in range(8)]
     top = clusters.describe_groups(m).where("group_id = 1").orderBy("rank").collect()
     assert [r["id"] for r in top] == [0, 40_000, 80_000] and top[0]["n_members"] == 9
+
+
+def test_pivots_in_parts(monkeypatch):
+    rng = np.random.default_rng(12)
+    x = clusters._unit(clustered(6000, 80, 500, rng).astype(np.float32))
+    flat = clusters.Pivots.fit(x, 200)
+    monkeypatch.setattr(clusters, "FLAT_PIVOTS", 100)
+    parts = clusters.Pivots.fit(x, 200)
+    assert len(flat.parts) == 1 and len(parts.parts) > 8 and 150 < len(parts) < 260
+    for p in (flat, parts):
+        whole = np.concatenate(p.parts)
+        cell, sim = p.nearest_two(x)
+        s = x @ whole.T
+        assert np.allclose(sim[:, 0], s[np.arange(len(x)), cell[:, 0]], atol=1e-5) and (cell[:, 0] != cell[:, 1]).all() and (sim[:, 0] >= sim[:, 1]).all()
+        assert (cell[:, 0] == s.argmax(1)).mean() > (0.999 if p is flat else 0.9)
+    one = clusters.Pivots.fit(x[:5], 1)
+    assert (one.nearest_two(x[:5])[0] == [0, -1]).all()
+
+
+def test_balls_and_merged_means():
+    rng = np.random.default_rng(13)
+    u = clusters._unit(np.concatenate([np.eye(64)[i] + rng.normal(size=(30, 64)) * 0.05 for i in range(3)]))
+    got = clusters.balls(u, np.ones(90), 0.8)
+    assert [len(set(got[i * 30 : i * 30 + 30])) for i in range(3)] == [1, 1, 1] and len(set(got)) == 3
+    means, into = clusters.merge_means(np.array([[1.0, 0.0], [9.0, 0.5], [0.0, 3.0]]), np.array([1, 9, 3]), 0.9)
+    assert len(means) == 2 and into.tolist() == [0, 0, 1] and np.allclose(np.linalg.norm(means, axis=1), 1)
+
+
+def test_groups_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(14)
+    x = np.concatenate([np.eye(64)[i] + rng.normal(size=(n, 64)) * 0.06 for i, n in enumerate((400, 60, 30))] + [np.tile(rng.normal(size=64), (900, 1)), rng.normal(size=(300, 64))])
+    want = groups_of(clusters.similarity_groups(packed(spark, x, parts=1), cell_rows=100))
+    assert sorted(map(len, want)) == [30, 60, 400, 900]
+    for parts in (3, 9):
+        assert groups_of(clusters.similarity_groups(packed(spark, x, parts=parts), cell_rows=100, fit_on=packed(spark, np.concatenate([x, x])))) == want
