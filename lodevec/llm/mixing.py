@@ -26,7 +26,8 @@ def source_name(col: Column) -> Column:
 def sized_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> DataFrame:
     """(key, source, tokens): documents with a source and at least one token of the public vocabulary."""
     rows = documents.where(F.col(source).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(key), source_name(F.col(source)).alias("source"), count_column(path)(F.col(text)).alias("tokens"))
+    rows = rows.select(F.col(key), source_name(F.col(source)).alias("source"), count_column(path).asNondeterministic()(F.col(text)).alias("tokens"))
+    # a function called nondeterministic is not run a second time below the projection, for the filter
     return rows.where((F.col("tokens") > 0) & (F.col("source") != ""))
 
 
