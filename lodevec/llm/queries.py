@@ -68,7 +68,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    documents = spread(table(spark, d, "documents").select("doc_id", "text"))
+    documents = spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
     model = reading.fit_levels(documents, table(spark, d, "level_labels"))
     return reading.reading_levels(documents, model)
 

@@ -5,6 +5,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -182,29 +183,80 @@ def test_odd_scores(spark):
     assert combined(spark, [], top=5) == []
 
 
-def test_level_model_on_held_out_grades(spark):
+LANGUAGES = {
+    "nl": "De eerste stap is het lezen van de handleiding. Daarna kunt u de instellingen van het systeem in het menu wijzigen, en als er iets fout gaat, wordt de oude versie hersteld.",
+    "it": "Il primo passo è leggere il manuale. Poi si possono cambiare le impostazioni del sistema nel menu, e se qualcosa va storto la versione precedente viene ripristinata.",
+    "fr": "La première étape consiste à lire le manuel. Ensuite, on peut modifier les paramètres du système dans le menu, et si une erreur se produit, l'ancienne version est restaurée.",
+    "sv": "Det första steget är att läsa handboken. Sedan kan man ändra inställningarna i menyn, och om något går fel återställs den gamla versionen. Filen sparas i användarens mapp.",
+    "es": "El primer paso es leer el manual. Después se pueden cambiar los ajustes del sistema en el menú, y si algo sale mal se restaura la versión anterior.",
+    "ru": "Первый шаг заключается в том, чтобы прочитать руководство. Затем можно изменить настройки системы в меню.",
+}
+ENGLISH = [
+    "The old man walked slowly along the beach every morning. His dog ran ahead, chasing gulls that always flew off before it reached them.",
+    "Wash your hands, chop two onions and fry them gently in butter until they are golden brown. Then add the garlic to the pan.",
+    "Localisation requires incremental thresholds. Please read the normalisation instructions before changing certificates and dashboards.",
+]
+
+
+@pytest.fixture(scope="module")
+def levels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = table(spark, d, "documents"), table(spark, d, "level_labels").where("reading_level is not null")
     held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
-    model = reading.fit_levels(docs, labels.where(~held))
     grades = labels.where(held).groupBy("doc_id").agg(F.collect_list("reading_level").alias("l")).where("size(array_distinct(l)) = 1")
-    cases = grades.join(docs.select("doc_id", "text"), "doc_id").collect()
-    hits = [model.level(r["text"]) == r["l"][0] for r in cases]
-    assert len(hits) > 100 and sum(hits) / len(hits) >= 0.9
-    sure = [model.level(r["text"]) == r["l"][0] for r in cases if len(r["l"]) > 1]
-    assert sum(sure) / len(sure) >= 0.95
+    cases = grades.join(docs.select("doc_id", "text"), "doc_id").orderBy("doc_id").collect()
+    return docs, labels.where(~held), cases
+
+
+def test_level_model_on_held_out_grades(levels):
+    docs, labels, cases = levels
+    model = reading.fit_levels(docs, labels)
+    hits = model.score([r["text"] for r in cases]) == np.array([r["l"][0] for r in cases])
+    assert len(hits) > 100 and hits.mean() >= 0.9
+    assert hits[[len(r["l"]) > 1 for r in cases]].mean() >= 0.95
+    # one text at a time gives what a batch gives
+    assert [int(model.score([r["text"]])[0]) for r in cases[:50]] == model.score([r["text"] for r in cases[:50]]).tolist()
+    assert not model.score([*LANGUAGES.values(), None, ""]).any() and model.score(ENGLISH).all()
+    assert len(model.score([])) == 0
+
 
+def test_the_texts_own_numbers_carry_the_levels(levels):
+    docs, labels, cases = levels
+    model = reading.fit_levels(docs, labels, use=slice(0, 9))
+    hits = model.score([r["text"] for r in cases]) == np.array([r["l"][0] for r in cases])
+    assert hits.mean() >= 0.8
 
-def test_what_is_prose():
+
+def test_what_is_prose(levels):
+    model = reading.fit_language(levels[0])
     english = "The setting controls how the queue works, and it is safe to change it."
-    assert reading.is_english(english) and reading.is_english(english.upper()) and reading.is_english("- " + english.replace(", ", ",\n"))
-    assert reading.is_english(f"# T\n\n```\n2025-01-01 10:00:00.1 INFO x id=1 took=3ms\n```\n{english}")
+    assert model.is_english(english) and model.is_english(english.upper()) and model.is_english("- " + english.replace(", ", ",\n"))
+    assert model.is_english(f"# T\n\n```\n2025-01-01 10:00:00.1 INFO x id=1 took=3ms\n```\n{english}")
+    assert model.is_english("Run the tool with the option --quick when you want to see it at once, and look at what it says.")
     for no in (
         None, "", "  \n", "2025-01-01 10:00:00.123 INFO a.b id=1 took=3ms\n" * 5, "| a_b | 3 | yes |\n" * 9, "lake a --b=1 --out data/a/b-1.parquet\n" * 5,
         "Der Vektorindex benötigt vor der nächsten Zusammenführung 68 Partitionen und ist nicht bereit.", "A equipe ainda não decidiu como apagar as linhas repetidas do arquivo.",
-        "検索結果は距離の小さい順に並べます。バージョン0.28では既定値が変わりました。", "```\nthe is are was were be been\n```",
+        "検索結果は距離の小さい順に並べます。バージョン0.28では既定値が変わりました。", "```\nthe is are was were be been\n```", "12:03:04 worker started now for you\n" * 3, "user=ann host=db1 state=open\n" * 9,
     ):
-        assert not reading.is_english(no), no
+        assert not model.is_english(no), no
+    for text in LANGUAGES.values():
+        assert not model.is_english(text), text
+    for text in ENGLISH:
+        assert model.is_english(text), text
+
+
+def test_language_without_labels():
+    texts = ["The queue is full and you can see it in the log of the day."] * 5 + ["Die Warteschlange ist voll und steht im Protokoll des Tages."] * 5
+    model = reading.LanguageModel.fit(texts, [None] * 10)
+    assert model.is_english(texts[0]) and not model.is_english(texts[-1])
+    assert reading.LanguageModel.fit(texts[5:], [None] * 5) is None and reading.LanguageModel.fit([], []) is None
+
+
+def test_word_rarity_counts_every_word(spark):
+    docs = spark.createDataFrame([(1, "One two"), (2, "one three's"), (3, None), (4, "")], "doc_id long, text string")
+    got = reading.word_rarity(docs)
+    assert got[reading.word_bucket("one")] == np.float32(-np.log(2 / 3)) and got[reading.word_bucket("two")] == np.float32(-np.log(1 / 3))
+    assert got[reading.word_bucket("unseen")] == np.float32(np.log(3) + 1)
 
 
 def test_levels_without_grades(spark):
@@ -216,7 +268,6 @@ def test_levels_without_grades(spark):
 
 
 def test_ordinal_regression_recovers_order():
-    import numpy as np
 
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
