@@ -1,13 +1,14 @@
 """Mixing sources to target weights, in the order of a curriculum.
 
-Each source has a share of the mix that may vary with the training time t in [0, 1]:
-share * (1 + tilt * (2 t - 1)), whose integral over all of training is the share.  The integral up to t is the
-source's cumulative demand; the tokens of its documents, laid end to end, are placed where the
+Each source has a weight that may vary with the training time t in [0, 1], by any piecewise linear schedule, scaled so that
+its integral over all of training is the source's share.  The integral up to t is the source's cumulative demand; the tokens of its documents, laid end to end, are placed where the
 demand reaches them, which gives each copy of a document its position.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,23 +88,52 @@ def plan_demand(sized: DataFrame, targets: DataFrame, total_tokens: int | None =
     return sized.sparkSession.createDataFrame(out, "mix_name string, source string, target_share double, max_repeats long, available long, demand double")
 
 
-def position(fill: Column, tilt: Column) -> Column:
-    """Time at which the cumulative demand t + tilt (t² - t) reaches ``fill``; for a tilt from -1 to 1."""
-    one = F.lit(1.0)
-    root = (-(one - tilt) + F.sqrt((one - tilt) * (one - tilt) + 4 * tilt * fill)) / (2 * tilt)
-    return F.when(F.abs(tilt) < 1e-9, fill).otherwise(root)
+def schedule_segments(schedule: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float, float]]:
+    """(start, length, weight at the start, weight at the end, demand before) of each piece of a schedule, scaled so that the demand of all training is 1.
+
+    A schedule is a list of (time, weight) with times from 0 to 1 and weights of zero or more, linear between them and constant before the first and after the last.
+    """
+    points = sorted((float(t), float(w)) for t, w in schedule)
+    if not points or any(not 0 <= t <= 1 or not 0 <= w < float("inf") for t, w in points):
+        raise ValueError("a schedule needs (time, weight) with times from 0 to 1 and weights of zero or more")
+    points = [(0.0, points[0][1]), *points, (1.0, points[-1][1])]
+    pieces = [(a, b - a, v, w) for (a, v), (b, w) in zip(points, points[1:]) if b > a]
+    whole = sum(h * (v + w) / 2 for _, h, v, w in pieces)
+    if whole <= 0:
+        raise ValueError("a schedule needs a weight above zero")
+    out, before = [], 0.0
+    for a, h, v, w in pieces:
+        out.append((a, h, v / whole, w / whole, before))
+        before += h * (v + w) / 2 / whole
+    return out
+
+
+def position(fill: Column, segments: Column) -> Column:
+    """Time at which the cumulative demand reaches ``fill``: the integral of the weight, which is quadratic in each piece, inverted."""
+    reached = F.filter(segments, lambda s: s["before"] <= fill)
+
+    def inside(s: Column) -> Column:
+        rest = F.greatest(fill - s["before"], F.lit(0.0))
+        slope = (s["last"] - s["first"]) / s["length"]
+        root = s["first"] + F.sqrt(F.greatest(s["first"] * s["first"] + 2 * slope * rest, F.lit(0.0)))
+        return s["start"] + F.least(F.when(root > 0, 2 * rest / root).otherwise(F.lit(0.0)), s["length"])
+
+    # the last piece that has begun, but one without any demand is only waited through
+    return F.get(F.transform(F.slice(reached, -1, 1), inside), F.lit(0))
 
 
 def mix_sources(
     documents: DataFrame,
     targets: DataFrame,
-    tilts: dict[str, float] | None = None,
+    schedules: dict[str, Sequence[tuple[float, float]]] | None = None,
     total_tokens: int | None = None,
     key: str = "doc_id",
     path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The selection and the report.
 
+    ``schedules`` gives sources a weight over the training time, see :func:`schedule_segments`; others have an even one.
+
     Selection: (mix_name, source, key, copy_no, tokens, position), a row for each copy, sorted by position over range
     partitions.  A document comes up to ``max_repeats`` times; all documents of a source come equally often, but for one
     time more for the first ones of its layout, cut where half the document at the edge is reached.  Report: (mix_name,
@@ -111,18 +141,21 @@ def mix_sources(
     """
     sized = cut_lineage(sized_documents(documents, key, path=path))
     demand = plan_demand(sized, targets, total_tokens)
-    tilt = F.lit(0.0)
-    for s, v in (tilts or {}).items():
-        tilt = F.when(F.col("source") == s, F.lit(float(v))).otherwise(tilt)
+    given = [(s, [tuple(x) for x in schedule_segments(v)]) for s, v in (schedules or {}).items()]
+    pieces = "array<struct<start:double,length:double,first:double,last:double,before:double>>"
+    even = F.array(F.struct(*[F.lit(x).alias(n) for n, x in zip(("start", "length", "first", "last", "before"), (0.0, 1.0, 1.0, 1.0, 0.0))]))
+    times = documents.sparkSession.createDataFrame(given, f"source string, segments {pieces}")
+    wanted = demand.where("demand > 0").join(F.broadcast(times), "source", "left").withColumn("segments", F.coalesce("segments", even))  # settings, as the targets
     laid = lay_out(sized, key)
-    rows = laid.join(demand.where("demand > 0").withColumn("tilt", tilt), "source")
+    rows = laid.join(wanted, "source")
     middle = F.col("before") + F.col("tokens") / 2
     full = F.floor(F.col("demand") / F.col("available"))
     copies = F.least(full + (middle < F.col("demand") - full * F.col("available")).cast("long"), F.col("max_repeats"))
     rows = rows.withColumn("copies", copies).where("copies > 0")
     rows = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     fill = F.least(((F.col("copy_no") - 1) * F.col("available") + middle) / F.col("demand"), F.lit(1.0))
-    rows = rows.withColumn("position", position(fill, F.col("tilt")))
+    rows = rows.withColumn("fill", fill)
+    rows = rows.withColumn("position", position(F.col("fill"), F.col("segments")))
     chosen = rows.select("mix_name", "source", key, "copy_no", "tokens", "position")
     sums = chosen.groupBy("mix_name", "source").agg(F.sum((F.col("copy_no") == 1).cast("long")).alias("n_docs"), F.count(F.lit(1)).alias("n_copies"), F.sum("tokens").alias("t"))
     report = demand.join(sums, ["mix_name", "source"], "left").na.fill(0, ["n_docs", "n_copies", "t"])

@@ -12,7 +12,7 @@ from lodevec.session import spread, table
 
 ARMS = {"embedding": 1.0, "text": 1.0, "multimodal": 1.0}
 # Curriculum of the example mixes: first steps early, research late.
-TILTS = {"tutorial": -0.6, "glossary": -0.4, "paper": 0.6}
+SCHEDULES = {"tutorial": [(0, 1.6), (1, 0.4)], "glossary": [(0, 1.4), (1, 0.6)], "paper": [(0, 0), (0.2, 0), (0.6, 1), (1, 1.5)]}
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
@@ -60,11 +60,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"), TILTS)[0]
+    return mixing.mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"), SCHEDULES)[0]
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"), TILTS)[1]
+    return mixing.mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"), SCHEDULES)[1]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

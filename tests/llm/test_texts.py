@@ -94,7 +94,7 @@ TARGETS = [("m", "big_one", 0.5, 1), ("m", "Small", 0.3, 4), ("m", "mid", 0.1, 2
 def test_mix(spark):
     docs = corpus(spark, {"big_one": 2000, "small": 100, "mid": 300})
     targets = spark.createDataFrame(TARGETS, "mix_name string, source string, target_share double, max_repeats int")
-    mix, report = mixing.mix_sources(docs, targets, {"small": -0.9, "big_one": 0.8})
+    mix, report = mixing.mix_sources(docs, targets, {"small": [(0, 1.9), (1, 0.1)], "big_one": [(0, 0), (0.25, 0), (0.75, 1)]})
     chosen, rep = mix.collect(), {(r["mix_name"], r["source"]): r for r in report.collect()}
     caps = {("m", "big_one"): 1, ("m", "small"): 4, ("m", "mid"): 2, ("n", "mid"): 3}
     seen, times = collections.Counter(), collections.Counter()
@@ -111,13 +111,39 @@ def test_mix(spark):
     # the one that is short is used in full
     assert rep["m", "small"]["n_copies"] == 400
     early = lambda s: sum(r["tokens"] for r in chosen if r["mix_name"] == "m" and r["source"] == s and r["position"] < 0.5) / seen["m", s]
-    # by t = 1/2 the integral of 1 + tilt (2 t - 1) is 1/2 - tilt / 4
-    assert abs(early("small") - (0.5 + 0.9 / 4)) < 0.03 and abs(early("big_one") - (0.5 - 0.8 / 4)) < 0.03 and abs(early("mid") - 0.5) < 0.05
+    # by t = 1/2 the integrals are (1.9 + 1) / 4 of 1, and 1/16 of 1/2
+    assert abs(early("small") - 0.725) < 0.03 and abs(early("big_one") - 0.125) < 0.03 and abs(early("mid") - 0.5) < 0.05
+    assert min(r["position"] for r in chosen if r["mix_name"] == "m" and r["source"] == "big_one") > 0.25
     parts = mix.select("mix_name", "position", F.spark_partition_id().alias("p")).collect()
     order = sorted(parts, key=lambda r: r["p"])
     assert [(r["mix_name"], r["position"]) for r in order] == sorted((r["mix_name"], r["position"]) for r in parts)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.sampled_from([0.0, 0.5, 1.0, 7.0])), min_size=1, max_size=5))
+def test_schedules_integrate_to_one(points):
+    if max(w for _, w in points) == 0:
+        return
+    try:
+        pieces = mixing.schedule_segments(points)
+    except ValueError:  # a weight of no length
+        return
+    assert math.isclose(sum(h * (v + w) / 2 for _, h, v, w, _ in pieces), 1) and pieces[0][0] == 0 and math.isclose(pieces[-1][0] + pieces[-1][1], 1)
+
+
+def test_position_inverts_the_demand(spark):
+    for points in ([(0, 1)], [(0, 0), (1, 2)], [(0.3, 2), (0.3, 0), (0.6, 0), (0.8, 5)], [(0, 3), (1, 0)]):
+        pieces = mixing.schedule_segments(points)
+        column = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("start", "length", "first", "last", "before"), p)]) for p in pieces])
+        got = spark.range(101).select((F.col("id") / 100).alias("f")).select("f", mixing.position(F.col("f"), column).alias("t")).collect()
+        for f, t in got:
+            done = sum(min(max(t - a, 0), h) * (v + v + (w - v) * min(max(t - a, 0), h) / h) / 2 for a, h, v, w, _ in pieces)
+            assert 0 <= t <= 1 and abs(done - f) < 1e-7
+    for wrong in ([], [(0, 0)], [(2, 1)], [(0, -1)]):
+        with pytest.raises(ValueError):
+            mixing.schedule_segments(wrong)
+
+
 def test_mix_of_given_size_and_empty_inputs(spark):
     docs = corpus(spark, {"big_one": 500, "small": 20, "mid": 100})
     targets = spark.createDataFrame(TARGETS[:3], "mix_name string, source string, target_share double, max_repeats int")
