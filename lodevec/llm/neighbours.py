@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodevec.llm.current import DIM, kmeans, nearest, sample_vectors, unit, unpack
+from lodevec.llm.current import DIM, kmeans, sample_vectors, unit, unpack
 
 SAMPLE_ROWS = 65_536
 CELL_ROWS = 48
 BLOCK_ROWS = 100_000
-DEEP_ROWS = 10_000
 MIN_VISITS = 8
+DEEP_CENTRES = 64
 MAX_CENTRES = 2048
 
 
@@ -43,12 +43,10 @@ class MultiIndex:
     dim: int
     sizes: np.ndarray | None = None
     coarse: np.ndarray | None = None
-    parts: np.ndarray | None = None
+    row: np.ndarray | None = None
+    start: np.ndarray | None = None
     fine: np.ndarray | None = None
-
-    def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = self.dim // 2
-        return nearest(x[:, :h], self.first), nearest(x[:, h:], self.second)
+    names: np.ndarray | None = None
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of the halves to the centroids, but for a constant of each row and half."""
@@ -58,31 +56,71 @@ class MultiIndex:
             np.einsum("ij,ij->i", self.second, self.second) - 2 * x[:, h:] @ self.second.T,
         )
 
-    def divide(self, block_rows: int) -> None:
-        """Group near centroids so that blocks hold about ``block_rows`` rows."""
+    def divide(self, block_rows: int) -> np.ndarray:
+        """Group near centroids so that blocks hold about ``block_rows`` rows; the rows of each block."""
         k1, k2 = self.sizes.shape
-        blocks = int(np.clip(math.ceil(self.sizes.sum() / block_rows), 1, k1))
-        self.coarse = nearest(self.first, kmeans(self.first, blocks))
-        rows = np.bincount(self.coarse, weights=self.sizes.sum(1), minlength=blocks)
-        self.parts = np.clip(np.ceil(rows / (2 * block_rows)).astype(np.int64), 1, k2)
-        self.fine = np.zeros((self.parts.max() + 1, k2), np.int64)
-        for p in np.unique(self.parts):
-            self.fine[p] = nearest(self.second, kmeans(self.second, int(p)))
+        self.coarse = bisect(self.first, self.sizes.sum(1), block_rows)
+        groups = int(self.coarse.max()) + 1
+        # the first line of ``fine`` serves all groups that are one block
+        self.row, lines, self.start, rows = np.zeros(groups, np.int64), [np.zeros(k2, np.int32)], np.zeros(groups, np.int64), []
+        for g in range(groups):
+            held = self.sizes[self.coarse == g].sum(0)
+            self.start[g] = len(rows)
+            parts = bisect(self.second, held, block_rows) if held.sum() > 1.5 * block_rows else lines[0]
+            if parts.max():
+                self.row[g] = len(lines)
+                lines.append(parts.astype(np.int32))
+            rows += np.bincount(parts, weights=held).tolist()
+        self.fine = np.array(lines)
+        self.names = np.arange(len(rows))
+        return np.array(rows)
 
     def block(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-        """Block number of a cell."""
+        """Block of a cell."""
         g = self.coarse[c1]
-        return g * len(self.second) + self.fine[self.parts[g], c2]
+        return self.names[self.start[g] + self.fine[self.row[g], c2]]
+
+
+def bisect(centres: np.ndarray, rows: np.ndarray, limit: int) -> np.ndarray:
+    """Group number of each centre: halves of equal rows along the longest axis, and halves of these, until a group has at most 1.5 * ``limit`` rows or one centre."""
+    out, number, todo = np.zeros(len(centres), np.int64), 0, [np.arange(len(centres))]
+    while todo:
+        at = todo.pop()
+        w = rows[at].astype(float)
+        if w.sum() <= 1.5 * limit or len(at) < 2:
+            out[at] = number
+            number += 1
+            continue
+        x = centres[at] - np.average(centres[at], axis=0, weights=w + 1e-9)
+        axis = np.linalg.eigh((x * (w + 1e-9)[:, None]).T @ x)[1][:, -1]
+        at = at[np.argsort(x @ axis, kind="stable")]
+        half = int(np.clip(np.searchsorted(np.cumsum(rows[at]), w.sum() / 2) + 1, 1, len(at) - 1))
+        todo += [at[half:], at[:half]]
+    return out
+
+
+def even_names(spark, rows: np.ndarray) -> np.ndarray:
+    """A name for each block such that Spark's hash spreads the blocks evenly by rows over the shuffle's partitions."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = spark.range(16 * max(n, len(rows))).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).toPandas()
+    free = {p: v["id"].tolist()[::-1] for p, v in found.groupby("p")}
+    load, names = {p: 0.0 for p in free}, np.zeros(len(rows), np.int64)
+    for b in np.argsort(-rows, kind="stable"):
+        p = min((p for p in free if free[p]), key=lambda p: (load[p], p))
+        names[b], load[p] = free[p].pop(), load[p] + rows[b]
+    return names
 
 
-def fit(vectors: DataFrame, n_rows: int, dim: int = DIM, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS) -> MultiIndex:
-    """Codebooks on a bounded sample (about ``sample_rows`` rows); cells hold ``cell_rows`` rows on average, up to 2048 centroids a half."""
+def fit(vectors: DataFrame, n_rows: int, dim: int = DIM, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, centres: int = 4) -> MultiIndex:
+    """Codebooks on a bounded sample (about ``sample_rows`` rows); cells hold ``cell_rows`` rows on average, with at least ``centres`` and up to 2048 centroids a half."""
     x = sample_vectors(vectors, n_rows, sample_rows, dim)
-    k = max(4, min(MAX_CENTRES, int(math.sqrt(max(n_rows, 1) / cell_rows)), max(4, len(x) // 16)))
+    k = min(MAX_CENTRES, max(centres, int(math.sqrt(max(n_rows, 1) / cell_rows))), max(4, len(x) // 16))
     h = dim // 2
     if not len(x):
         x = np.zeros((1, dim), np.float32)
-    return MultiIndex(kmeans(x[:, :h], k), kmeans(x[:, h:], k), dim)
+    # of centroids that are all but equal (copies in the sample) one is enough, and tells in which cell a row is
+    first, second = (np.ascontiguousarray(c[np.sort(np.unique(np.round(c, 5), axis=0, return_index=True)[1])]) for c in (kmeans(x[:, :h], k), kmeans(x[:, h:], k)))
+    return MultiIndex(first, second, dim)
 
 
 def traverse(d1: np.ndarray, d2: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -121,17 +159,14 @@ def first_pairs(d1: np.ndarray, d2: np.ndarray, visits: int) -> tuple[np.ndarray
     return np.take_along_axis(o1[:, i], take, 1), np.take_along_axis(o2[:, j], take, 1)
 
 
-def deep_pairs(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: int) -> list[tuple[int, int]]:
-    """Pairs in heap order until the cells visited hold ``want`` rows."""
-    out, have = [], 0
-    for c1, c2 in traverse(d1, d2):
-        n = int(sizes[c1, c2])
-        if n:
-            out.append((c1, c2))
-            have += n
-            if have >= want:
-                break
-    return out
+def deep_pairs(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs with rows that :func:`traverse` reaches until they hold ``want`` rows; all sums sorted at once give its order."""
+    c1, c2 = np.nonzero(sizes)
+    rank1, rank2 = np.argsort(np.argsort(d1, kind="stable")), np.argsort(np.argsort(d2, kind="stable"))
+    order = np.lexsort((rank2[c2], rank1[c1], d1[c1] + d2[c2]))
+    have = np.cumsum(sizes[c1[order], c2[order]])
+    order = order[: int(np.searchsorted(have, want)) + 1]
+    return c1[order], c2[order]
 
 
 def _measure(index: MultiIndex, vectors: DataFrame, block_rows: int) -> None:
@@ -141,7 +176,8 @@ def _measure(index: MultiIndex, vectors: DataFrame, block_rows: int) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k1 * k2, np.int64)
         for b in batches:
-            c1, c2 = index.codes(unpack(b.column(0), dim))
+            d1, d2 = index.distances(unpack(b.column(0), dim))
+            c1, c2 = d1.argmin(1), d2.argmin(1)
             total += np.bincount(c1 * k2 + c2, minlength=k1 * k2)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
@@ -150,71 +186,73 @@ def _measure(index: MultiIndex, vectors: DataFrame, block_rows: int) -> None:
     sizes = np.zeros(k1 * k2, np.int64)
     sizes[cells["cell"]] = cells["n"]
     index.sizes = sizes.reshape(k1, k2)
-    index.divide(block_rows)
+    index.names = even_names(vectors.sparkSession, index.divide(block_rows))
 
 
-def split_copies(vec: pa.Array, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """Of rows with equal bytes the ``keep`` lowest ids stay: (rows that stay, rows that do not, the ids which stayed for each of these)."""
+def split_copies(vec: pa.Array, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with equal bytes the ``keep`` lowest ids stay: (rows that stay, rows that do not, for each of these the row of the lowest id)."""
     if isinstance(vec, pa.ChunkedArray):
         vec = vec.combine_chunks()
     codes = vec.dictionary_encode().indices.to_numpy()
+    none = np.zeros(0, np.int64)
     if not len(codes) or np.bincount(codes).max() <= keep:
-        return np.arange(len(ids)), np.zeros(0, np.int64), []
+        return np.arange(len(ids)), none, none
     order = np.lexsort((ids, codes))
     start = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
-    rank = np.arange(len(ids)) - np.repeat(start, np.diff(np.append(start, len(ids))))
-    stay, rest = order[rank < keep], order[rank >= keep]
-    first = {int(codes[order[s]]): ids[order[s : s + keep]].tolist() for s in start}
-    return np.sort(stay), rest, [first[int(codes[r])] for r in rest]
+    first = np.repeat(start, np.diff(np.append(start, len(ids))))
+    rank = np.arange(len(ids)) - first
+    return np.sort(order[rank < keep]), order[rank >= keep], order[first[rank >= keep]]
 
 
 def _visits(index: MultiIndex, visits: int, deep_share: float | None, every: int | None, k: int):
-    """Rows to (block, id, vec, own, cells, copies).
+    """Rows to (block, id, vec, own, cells, copy_of).
 
     The own block with its cell in ``own``, and each block with ``cells`` to visit, where ``own`` is -1; cells are
-    numbered first * k2 + second.  A surplus copy has no vector but the ids of its ``copies``.
+    numbered first * k2 + second.  A surplus copy has, in place of the vector, its similarity to itself, and the id it is a ``copy_of``.
     """
     dim, k2 = index.dim, len(index.second)
-    want = None if deep_share is None else max(DEEP_ROWS, int(math.ceil(deep_share * index.sizes.sum())))
-    blocks = np.unique(index.block(*np.divmod(np.arange(index.sizes.size), k2)))
+    want = None if deep_share is None else int(math.ceil(deep_share * index.sizes.sum())) + k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "id", "vec", "own", "cells", "copies"]
+        names = ["block", "id", "vec", "own", "cells", "copy_of"]
         for b in batches:
             if not b.num_rows:
                 continue
             ids, vec = b.column(0).to_numpy(), b.column(1)
-            stay, rest, copies = split_copies(vec, ids, k + 1)
+            stay, rest, of = split_copies(vec, ids, k + 1)
+            asks = np.ones(len(ids), bool) if want is None else ids % every == 0
             if len(rest):
-                asked = np.ones(len(rest), bool) if want is None else ids[rest] % every == 0
-                rest, copies = rest[asked], [c for c, a in zip(copies, asked) if a]
+                rest, of = rest[asks[rest]], of[asks[rest]]
+                asks[of] = True  # their lists are those of the copies, too
                 m = len(rest)
+                y = unpack(vec.take(pa.array(rest)), dim)
+                alike = np.round(np.einsum("ij,ij->i", y, y, dtype=np.float64), 12)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(blocks[ids[rest] % len(blocks)]),
+                        pa.array(index.names[ids[rest] % len(index.names)]),
                         pa.array(ids[rest]),
-                        pa.array([b""] * m, pa.binary()),
+                        pa.array([v.tobytes() for v in alike], pa.binary()),
                         pa.array(np.full(m, -1, np.int32)),
                         pa.array([[]] * m, pa.list_(pa.int32())),
-                        pa.array(copies, pa.list_(pa.int64())),
+                        pa.array(ids[of]),
                     ],
                     names,
                 )
+            # cells are those of the whole batch, as they were counted
+            d1, d2 = index.distances(unpack(vec, dim))
+            asks, d1, d2 = asks[stay], d1[stay], d2[stay]
             ids, vec = ids[stay], vec.take(pa.array(stay))
             n = len(ids)
-            x = unpack(vec, dim)
-            d1, d2 = index.distances(x)
             c1, c2 = d1.argmin(1), d2.argmin(1)
             if want is None:
                 p1, p2 = first_pairs(d1, d2, visits)
                 who = np.repeat(np.arange(n), p1.shape[1])
                 p1, p2 = p1.ravel(), p2.ravel()
             else:
-                asks = np.flatnonzero(ids % every == 0)
+                asks = np.flatnonzero(asks)
                 lists = [deep_pairs(d1[i], d2[i], index.sizes, want) for i in asks]
-                who = np.repeat(asks, [len(v) for v in lists])
-                flat = np.array([p for v in lists for p in v], np.int64).reshape(-1, 2)
-                p1, p2 = flat[:, 0], flat[:, 1]
+                who = np.repeat(asks, [len(v) for v, _ in lists])
+                p1, p2 = (np.concatenate([v[j] for v in lists] or [np.zeros(0, np.int64)]) for j in (0, 1))
             full = index.sizes[p1, p2] > 0
             who, p1, p2 = who[full], p1[full], p2[full]
             # one record for each row and block: the entry, and where it visits cells of the block
@@ -231,7 +269,7 @@ def _visits(index: MultiIndex, visits: int, deep_share: float | None, every: int
             cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell[real].astype(np.int32)))
             w, bl = who[new], block[new]
             own = np.where(bl == home[w], c1[w] * k2 + c2[w], -1)
-            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(w) + 1, np.int32)), pa.array([], pa.int64()))
+            none = pa.nulls(len(w), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(bl), pa.array(ids[w]), vec.take(pa.array(w)), pa.array(own.astype(np.int32)), cells, none], names)
 
     return run
@@ -251,32 +289,31 @@ def _best(a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
 
 
 def _within(index: MultiIndex, k: int, least: float, every: int | None):
-    """Neighbours found in one block: each row's best ``k``, with exact similarities."""
+    """Neighbours found in one block: (id, other, similarity, copy), each row's best ``k``, with exact similarities and ``copy`` 0.
+
+    Where all rows ask, those of more than k + 1 copies have a row with the lowest of them as other and ``copy`` 1; surplus copies of a batch pass through with 2.
+    """
     dim = index.dim
 
     def run(group: pa.Table) -> pa.Table:
-        surplus = group["vec"].combine_chunks()
-        surplus = np.flatnonzero(np.diff(np.frombuffer(surplus.buffers()[1], np.int32)[surplus.offset : surplus.offset + len(surplus) + 1]) == 0)
-        qa, qb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def link(ids: np.ndarray, copies: list[list[int]]) -> None:
-            pairs = np.array([(i, c) for i, cs in zip(ids.tolist(), copies) for c in cs if c != i], np.int64).reshape(-1, 2)
-            qa.append(pairs[:, 0])
-            qb.append(pairs[:, 1])
-
+        copy_of = group["copy_of"].combine_chunks()
+        surplus = pa.array(np.flatnonzero(np.asarray(copy_of.is_valid())))
+        links = [(group["id"].to_numpy()[surplus], copy_of.take(surplus).to_numpy(), np.frombuffer(b"".join(group["vec"].combine_chunks().take(surplus).to_pylist())), 2)]
         if len(surplus):
-            link(group["id"].to_numpy()[surplus], group["copies"].combine_chunks().take(pa.array(surplus)).to_pylist())
             group = group.take(pa.array(np.setdiff1d(np.arange(len(group)), surplus)))
-        # copies that met here from different batches
-        own = group["own"].to_numpy()
+        # copies that met here from different batches: the lowest ids stay entries
+        own = group["own"].to_numpy().copy()
         entry = np.flatnonzero(own >= 0)
-        _, rest, copies = split_copies(group["vec"].combine_chunks().take(pa.array(entry)), group["id"].to_numpy()[entry], k + 1)
+        _, rest, of = split_copies(group["vec"].combine_chunks().take(pa.array(entry)), group["id"].to_numpy()[entry], k + 1)
         if len(rest):
-            rest = entry[rest]
-            asked = np.ones(len(rest), bool) if every is None else group["id"].to_numpy()[rest] % every == 0
-            link(group["id"].to_numpy()[rest[asked]], [c for c, a in zip(copies, asked) if a])
-            group = group.take(pa.array(np.setdiff1d(np.arange(len(group)), rest)))
-            own = group["own"].to_numpy()
+            rest, of = entry[rest], entry[of]
+            own[rest] = -1
+            if every is None:
+                y = unpack(group["vec"].combine_chunks().take(pa.array(rest)), dim)
+                all_ids = group["id"].to_numpy()
+                links.append((all_ids[rest], all_ids[of], np.round(np.einsum("ij,ij->i", y, y, dtype=np.float64), 12), 1))
+                stay = np.setdiff1d(np.arange(len(group)), rest)
+                group, own = group.take(pa.array(stay)), own[stay]
         ids = group["id"].to_numpy()
         x = unpack(group["vec"], dim)
         cells = group["cells"].combine_chunks()
@@ -300,31 +337,43 @@ def _within(index: MultiIndex, k: int, least: float, every: int | None):
             for a in range(0, len(q), step):
                 part = q[a : a + step]
                 near = x[part] @ xr
-                if every is not None and len(r) > k + 1:  # the best k + 1 of the cell, which may hold the row itself
-                    j = np.argpartition(-near, k, axis=1)[:, : k + 1].ravel()
-                    i = np.repeat(np.arange(len(part)), k + 1)
+                if every is not None and len(r) > k + 1:  # the best k + 1 of the cell, which may hold the row itself, and what is equal to the last of them
+                    i, j = np.nonzero(near >= np.partition(near, len(r) - k - 1, axis=1)[:, len(r) - k - 1, None] - 1e-6)
                 else:
                     i, j = np.nonzero(near >= least - 1e-5)
                 i, j = part[i], r[j]
                 other = ids[i] != ids[j]
                 i, j = i[other], j[other]
-                # the exact similarity, in double precision
+                # the exact similarity, in double precision; equal but for the order of summation is equal
                 sim = np.einsum("ij,ij->i", x[i], x[j], dtype=np.float64)
                 ok = sim >= least
+                sim = np.round(sim, 12)
                 qs.append(i[ok])
                 rs.append(j[ok])
                 sims.append(sim[ok])
         q, r, sim = np.concatenate(qs), np.concatenate(rs), np.concatenate(sims)
         if every is None:  # what is near is near both ways
             q, r, sim = np.concatenate([q, r]), np.concatenate([r, q]), np.tile(sim, 2)
-        same = np.concatenate(qa)
-        a, b, sim = np.concatenate([ids[q], same]), np.concatenate([ids[r], *qb]), np.concatenate([sim, np.ones(len(same))])
+        a, b = ids[q], ids[r]
         keep = _best(a, b, sim, k)
-        return pa.table({"id": a[keep], "other": b[keep], "similarity": sim[keep]})
+        columns = [[a[keep], *(x[0] for x in links)], [b[keep], *(x[1] for x in links)], [sim[keep], *(x[2] for x in links)], [np.zeros(len(keep), np.int32), *(np.full(len(x[0]), x[3], np.int32) for x in links)]]
+        return pa.table(dict(zip(("id", "other", "similarity", "copy"), map(np.concatenate, columns))))
 
     return run
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("other"))
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+
+
+def _lists_of_copies(copies: DataFrame, lists: DataFrame) -> DataFrame:
+    """(id, other, similarity) for copies of a row that has a list: that row, and what is in its list."""
+    theirs = lists.select(F.col("id").alias("of"), F.col("other").alias("next"), F.col("similarity").alias("s"))
+    more = copies.select("id", F.col("other").alias("of")).join(theirs, "of").select("id", F.col("next").alias("other"), F.col("s").alias("similarity"))
+    return copies.select("id", "other", "similarity").unionByName(more).where(F.col("id") != F.col("other"))
+
+
 def top_similar(
     vectors: DataFrame,
     k: int = 5,
@@ -342,26 +391,31 @@ def top_similar(
     neighbours of at least that similarity count: then ``visits`` cells a row are enough (by default 8, and more in
     proportion once there are over 192 centroids a half, as smaller cells part near rows more often).  With
     ``deep_share`` and ``every`` the queries are the rows whose id is divisible by ``every``, and
-    each visits cells in heap order until they hold that share of all rows (10,000 rows at least).  A row alone has
-    no neighbours; an empty table gives none.  Exact copies are neighbours of each other; of more than k + 1
-    in one batch or block, those beyond have the lowest ids of that batch or block as theirs.
+    each visits cells in heap order until they hold that share of all rows.  A row alone has
+    no neighbours; an empty table gives none.  Exact copies are neighbours of each other, the lowest ids first, however many there are
+    and however the rows are divided.
     """
     from lodevec.session import cut_lineage
 
     vectors = cut_lineage(vectors.select("id", "vec"))
     n = vectors.count()
-    index = fit(vectors, n, dim, sample_rows)
+    index = fit(vectors, n, dim, sample_rows, centres=4 if deep_share is None else DEEP_CENTRES)
     visits = visits or max(MIN_VISITS, len(index.first) // 24)
     _measure(index, vectors, block_rows)
     every = None if deep_share is None else every or 1
-    spread = vectors.mapInArrow(
-        _visits(index, visits, deep_share, every, k), "block long, id long, vec binary, own int, cells array<int>, copies array<long>"
-    )
-    found = spread.groupBy("block").applyInArrow(_within(index, k, least, every), "id long, other long, similarity double")
+    spread = vectors.mapInArrow(_visits(index, visits, deep_share, every, k), "block long, id long, vec binary, own int, cells array<int>, copy_of long")
+    found = spread.groupBy("block").applyInArrow(_within(index, k, least, every), "id long, other long, similarity double, copy int")
+    found = cut_lineage(found)
+    real = found.where(F.col("copy") == 0).select("id", "other", "similarity")
     if every is None:
-        found = found.dropDuplicates(["id", "other"])
-    best = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("other"))
-    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+        real = real.dropDuplicates(["id", "other"])
+    crowded = [r["copy"] for r in found.where(F.col("copy") > 0).select("copy").distinct().collect()]
+    if 1 in crowded:  # the lowest of all copies gives the lowest of each batch its list
+        real = real.unionByName(_lists_of_copies(found.where(F.col("copy") == 1), _ranked(real, k))).dropDuplicates(["id", "other"])
+    top = _ranked(real, k)
+    if 2 in crowded:  # and these the others of their batch
+        top = top.unionByName(_ranked(_lists_of_copies(found.where(F.col("copy") == 2), top), k))
+    return top if every is None else top.where(F.pmod("id", F.lit(every)) == 0)
 
 
 def near_pairs(top: DataFrame, least: float) -> DataFrame:

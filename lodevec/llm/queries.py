@@ -52,7 +52,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Whatever their similarity: the five most similar rows for each id divisible by 100, against all rows."""
     vectors = current.current_vectors(table(spark, d, "docs_ingest"))
-    return neighbours.top_similar(vectors, k=5, deep_share=0.2, every=100)
+    return neighbours.top_similar(vectors, k=5, deep_share=0.25, every=100)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

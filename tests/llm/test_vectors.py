@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodevec.llm import clusters, current, neighbours
+from lodevec.llm import clusters, current, neighbours, queries
 
 SCHEMA = "id long, text string, embedding array<float>, topic_id int, doc_source string, file_path string, ingested_at timestamp"
 
@@ -60,13 +60,15 @@ def test_traversal_is_the_heap_order():
             sums = [d1[i][a] + d2[i][b] for a, b in want]
             assert sums == sorted(sums)
     sizes = rng.integers(0, 3, (9, 7))
-    pairs = neighbours.deep_pairs(d1[0], d2[0], sizes, 10)
-    assert sum(sizes[p] for p in pairs) >= 10 and all(sizes[p] for p in pairs)
+    for want in (1, 10, 30, 1000):
+        pairs = list(zip(*(p.tolist() for p in neighbours.deep_pairs(d1[0], d2[0], sizes, want))))
+        held = [p for p in neighbours.traverse(d1[0], d2[0]) if sizes[p]]
+        assert pairs == held[: len(pairs)] and (sum(sizes[p] for p in pairs) >= want or len(pairs) == len(held))
 
 
 def brute_top(x, ids, k, least):
     u = current.unit(np.asarray(x, np.float32)).astype(np.float64)
-    s = u @ u.T
+    s = np.round(u @ u.T, 12)
     np.fill_diagonal(s, -9)
     out = {}
     for i in range(len(x)):
@@ -101,13 +103,7 @@ def test_deep_search_recall(spark):
     rng = np.random.default_rng(4)
     x = clustered(3000, 10, 3000, rng)
     vectors = packed(spark, x)
-    import lodevec.llm.neighbours as nb
-
-    old, nb.DEEP_ROWS = nb.DEEP_ROWS, 100
-    try:
-        found = neighbours.top_similar(vectors, 5, deep_share=0.35, every=100, block_rows=1500).collect()
-    finally:
-        nb.DEEP_ROWS = old
+    found = neighbours.top_similar(vectors, 5, deep_share=0.35, every=100, block_rows=1500).collect()
     want = brute_top(x, np.arange(len(x)), 5, -1)
     assert {r["id"] for r in found} == set(range(0, 6000, 100))
     hit = sum(r["other"] in want[r["id"]] for r in found)
@@ -116,18 +112,56 @@ def test_deep_search_recall(spark):
     assert {i: [r["other"] for r in sorted(whole, key=lambda r: r["rank"]) if r["id"] == i] for i in range(0, 6000, 500)} == {i: want[i] for i in range(0, 6000, 500)}
 
 
-def test_crowds_of_copies(spark):
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_settings(spark, scale):
+    d = f"/root/testdata/{scale}"
+    rows = current.current_vectors(spark.read.parquet(f"{d}/docs_ingest.parquet")).toPandas()
+    ids, u = rows["id"].to_numpy(), current.unpack(list(rows["vec"]), 64)
+    at = {int(i): n for n, i in enumerate(ids)}
+    found = queries.p5_neighbours(spark, d).collect()
+    asked = ids[ids % 100 == 0]
+    assert {r["id"] for r in found} == set(asked.tolist())
+    hit = 0
+    lists = {}
+    for r in found:
+        lists.setdefault(r["id"], []).append(r["other"])
+    for i in asked:
+        s = u @ u[at[int(i)]]
+        s[at[int(i)]] = -9
+        hit += (s[[at[o] for o in lists[int(i)]]] >= np.partition(s, -5)[-5] - 1e-6).sum()
+    assert hit / (5 * len(asked)) >= 0.9
+    pairs = {(r["id_a"], r["id_b"]) for r in queries.p5_found(spark, d).collect()}
+    want = set()
+    for a in range(0, len(u), 2000):
+        s = u[a : a + 2000] @ u.T
+        s[np.arange(len(s)), np.arange(len(s)) + a] = -9
+        best = np.argpartition(-s, 8, axis=1)[:, :9]
+        for i, js in enumerate(best):
+            js = sorted((j for j in js if s[i, j] >= 0.95 - 1e-5), key=lambda j: (-float(u[a + i].astype(float) @ u[j].astype(float)), ids[j]))[:5]
+            want |= {(min(ids[a + i], ids[j]), max(ids[a + i], ids[j])) for j in js if u[a + i].astype(float) @ u[j].astype(float) >= 0.95}
+    assert len(want - pairs) <= 0.002 * len(want) and len(pairs - want) <= 0.001 * len(want)
+
+
+@pytest.mark.parametrize("every", [None, 3])
+def test_crowds_of_copies(spark, every, monkeypatch):
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(900, 64))
-    x[300:] = x[300]  # two thirds are one vector
-    x[299] = x[300] * 2
-    top = neighbours.top_similar(packed(spark, x), 5, 0.95).collect()
-    by = {}
-    for r in top:
-        by.setdefault(r["id"], []).append(r)
-    assert set(by) == set(range(299, 900))
-    for i, rows in by.items():
-        assert len(rows) == 5 and all(o["other"] >= 299 and o["other"] != i and o["similarity"] > 0.9999 for o in rows)
+    x = rng.normal(size=(600, 64))
+    x[200:] = x[200]  # two thirds are one vector
+    x[199] = x[200] * 2
+    x[150:160] = x[150]
+    ids = rng.permutation(600)
+    want = brute_top(x, ids, 5, 0.95 if every is None else -1.0)
+    for parts in (1, 4, 9):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+        try:
+            how = {"least": 0.95} if every is None else {"deep_share": 1.0, "every": every}
+            top = neighbours.top_similar(packed(spark, x, ids, parts), 5, block_rows=150, **how).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        by = {}
+        for r in sorted(top, key=lambda r: r["rank"]):
+            by.setdefault(r["id"], []).append(r["other"])
+        assert by == {i: v for i, v in want.items() if v and (every is None or i % every == 0)}
 
 
 @pytest.mark.parametrize("n", [0, 1, 2])
