@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -22,6 +23,9 @@ SPLIT_FILES = 4096
 
 ZSTD_MAGIC = 0xFD2FB528
 ZSTD_SKIPPABLE = range(0x184D2A50, 0x184D2A60)
+# A frame of one segment of one byte, in one raw and last block: a line end.
+NEWLINE_FRAME = struct.pack("<IBB", ZSTD_MAGIC, 0x20, 1) + (1 << 3 | 1).to_bytes(3, "little") + b"\n"
+CHUNK = 1 << 20
 
 
 def plain_path(path: Column, warehouse: str = "warehouse") -> Column:
@@ -52,66 +56,102 @@ def plan_merge(
 ) -> DataFrame:
     """Assign every small file of a group of two or more to one target file.
 
-    Result: the group's columns, path, size, rows, ``target_no``, ``target_offset`` (first byte
-    in the target).  Groups are counted first; one with more than ``split`` files is
-    divided by a hash of the path, so no task holds an unbounded group.  A target closes
-    when the next file begins at or after a multiple of ``target``; a last target of a
+    Result: the group's columns, path, size, rows, ``target_no``, ``target_offset`` (first byte in the target), and of the whole target ``target_files``, ``target_bytes``,
+    ``target_rows`` (null if a count is unknown).  The files of a group lie end to end: a running sum within parts of about ``split`` files, by a hash of the path, on
+    top of the sums of the parts before, one row each; so no task holds an unbounded group, and targets go on across parts.  A target closes when the
+    next file begins at or after a multiple of ``target``, which must be twice ``small`` or more; a last target of a
     single file joins the one before it.  Files of unknown size, inactive or large ones, and
     those alone in their group are left out; null is one partition value.
     """
+    if target < 2 * small:
+        raise ValueError("a target must hold two small files")
     able = files.where(
         F.col("active") & (F.col(size) > 0) & (F.col(size) < small) & F.col(path).isNotNull()
     ).select(*group, path, size, rows)
     counts = able.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= 2)
-    right = counts.select(*[F.col(g).alias(f"__{g}") for g in group], "__n")
-    same = None
-    for g in group:
-        eq = F.col(g).eqNullSafe(F.col(f"__{g}"))
-        same = eq if same is None else same & eq
-    able = able.join(right, same).drop(*[f"__{g}" for g in group])
-    # at least split/2 files in each part on average, so a part of one file cannot arise in practice;
-    # the part number is part of the target's name.
-    parts = F.greatest(F.ceil(F.col("__n") / split), F.lit(1))
-    able = able.withColumn("__part", F.when(parts <= 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(path), parts)).cast("long"))
-    whole = [*group, "__part"]
-    run = Window.partitionBy(*whole).orderBy(F.col(size).desc(), F.col(path))
-    able = able.withColumn("__before", F.sum(size).over(run.rowsBetween(Window.unboundedPreceding, -1)))
-    able = able.withColumn("__before", F.coalesce(F.col("__before"), F.lit(0)))
+    able = _with(able, counts, group)
+    able = able.withColumn("__part", F.pmod(F.xxhash64(path), F.greatest(F.ceil(F.col("__n") / split), F.lit(1))))
+    run = Window.partitionBy(*group, "__part").orderBy(F.col(size).desc(), F.col(path))
+    able = able.withColumn("__inner", F.coalesce(F.sum(size).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # only groups of several parts have sums before a part
+    parts = able.where(F.col("__n") > split).groupBy(*group, "__part").agg(F.sum(size).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*group, "__part", F.coalesce(before, F.lit(0)).alias("__outer"))
+    able = _with(able, parts, (*group, "__part"), "left").withColumn("__before", F.col("__inner") + F.coalesce("__outer", F.lit(0)))
     able = able.withColumn("__bin", F.floor(F.col("__before") / target))
-    per_bin = Window.partitionBy(*whole, "__bin")
-    alone = F.count(F.lit(1)).over(per_bin) == 1
-    able = able.withColumn("__bin", F.when(alone & (F.col("__bin") > 0), F.col("__bin") - 1).otherwise(F.col("__bin")))
-    able = able.withColumn("__start", F.min("__before").over(per_bin))
+    alone = F.count(F.lit(1)).over(Window.partitionBy(*group, "__bin")) == 1
+    able = able.withColumn("target_no", F.when(alone & (F.col("__bin") > 0), F.col("__bin") - 1).otherwise(F.col("__bin")))
+    whole = Window.partitionBy(*group, "target_no")  # bounded by the bytes of a target
     return able.select(
         *group,
         path,
         size,
         rows,
-        F.concat_ws("-", F.col("__part"), F.col("__bin")).alias("target_no"),
-        (F.col("__before") - F.col("__start")).alias("target_offset"),
+        "target_no",
+        (F.col("__before") - F.min("__before").over(whole)).alias("target_offset"),
+        F.count(F.lit(1)).over(whole).alias("target_files"),
+        F.sum(size).over(whole).alias("target_bytes"),
+        F.when(F.count(rows).over(whole) == F.count(F.lit(1)).over(whole), F.sum(rows).over(whole)).alias("target_rows"),
     )
 
 
-def _frames_end(data: bytes) -> None:
-    """Raise unless ``data`` is a run of complete zstandard frames; walks headers only."""
-    at, n = 0, len(data)
+def _with(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Join on keys of which null is one value; only the columns of the right side that are no keys are added."""
+    more = [c for c in right.columns if c not in keys]
+    right = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *more)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(right, same, how).select(*left.columns, *more)
+
+
+def checked_plan(plan: DataFrame, path: str = "path", size: str = "file_size_bytes") -> DataFrame:
+    """The plan, or an error if the files of a target do not lie end to end: two or more, none before its first byte, no gap and no overlap up to its last."""
+    group = [c for c in plan.columns if c not in (path, size, "record_count", "target_no", "target_offset", "target_files", "target_bytes", "target_rows")]
+    whole = Window.partitionBy(*group, "target_no")
+    end = F.lag(F.col("target_offset") + F.col(size)).over(whole.orderBy("target_offset"))
+    last = F.max(F.col("target_offset") + F.col(size)).over(whole)
+    sound = (F.col("target_files") >= 2) & (F.col("target_offset") == F.coalesce(end, F.lit(0))) & (last == F.col("target_bytes"))
+    return plan.withColumn("__sound", sound).where(F.when(F.col("__sound"), True).otherwise(F.raise_error(F.lit("files of a target do not lie end to end")))).drop("__sound")
+
+
+def _place(path: str):
+    """(file system, path in it) of a path or URI, on whatever machine this runs; any scheme that Arrow's file systems know."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
+    return fs.LocalFileSystem(), path
+
+
+def _frames(f) -> list[int]:
+    """First bytes of the zstandard frames of an open file; an error unless it is a run of complete frames.  Only headers are read."""
+    n, at, starts = f.size(), 0, []
+
+    def part(at: int, length: int) -> bytes:
+        f.seek(at)
+        return f.read(length)
+
     while at < n:
-        if at + 4 > n:
+        head = part(at, 8)
+        if len(head) < 8:
             raise ValueError("cut frame header")
-        magic = struct.unpack_from("<I", data, at)[0]
+        magic = struct.unpack_from("<I", head)[0]
         if magic in ZSTD_SKIPPABLE:
-            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            at += 8 + struct.unpack_from("<I", head, 4)[0]
             continue
         if magic != ZSTD_MAGIC:
             raise ValueError("no zstandard frame")
-        flags = data[at + 4]
+        starts.append(at)
+        flags = head[4]
         single, checksum = flags >> 5 & 1, flags >> 2 & 1
         size_bytes = (single, 2, 4, 8)[flags >> 6]
         at += 5 + (not single) + (0, 1, 2, 4)[flags & 3] + size_bytes
         while True:
-            if at + 3 > n:
+            block = part(at, 3)
+            if len(block) < 3:
                 raise ValueError("cut block")
-            head = int.from_bytes(data[at : at + 3], "little")
+            head = int.from_bytes(block, "little")
             last, kind, length = head & 1, head >> 1 & 3, head >> 3
             at += 3 + (1 if kind == 1 else length)
             if last:
@@ -119,6 +159,21 @@ def _frames_end(data: bytes) -> None:
         at += 4 * checksum
     if at != n:
         raise ValueError("cut frame")
+    return starts
+
+
+def _last_byte(f, starts: list[int]) -> bytes:
+    """The last byte of what the frames hold: only the last frame with content is expanded, block by block."""
+    import zstandard
+
+    for start in reversed(starts):
+        f.seek(start)
+        stream, last = zstandard.ZstdDecompressor().stream_reader(f, closefd=False), b""
+        while block := stream.read(CHUNK):
+            last = block[-1:]
+        if last:
+            return last
+    return b""
 
 
 def write_lines(rows: DataFrame, root: str) -> DataFrame:
@@ -132,91 +187,138 @@ def write_lines(rows: DataFrame, root: str) -> DataFrame:
         pdf = pdf.sort_values(["row_no", "record"])
         name = key[1].lstrip("/")
         data = "".join(r.replace("\r", " ").replace("\n", " ") + "\n" for r in pdf["record"]).encode()
-        place = os.path.join(root, name)
-        os.makedirs(os.path.dirname(place), exist_ok=True)
-        with open(f"{place}.{os.getpid()}", "wb") as f:
+        files, place = _place(f"{root}/{name}")
+        files.create_dir(place.rpartition("/")[0], recursive=True)
+        part = f"{place}.{uuid.uuid4().hex}.part"
+        with files.open_output_stream(part) as f:
             f.write(data)
-        os.replace(f"{place}.{os.getpid()}", place)
+        files.move(part, place)
         return pd.DataFrame({"table_key": [key[0]], "path": [name], "record_count": [len(pdf)], "file_size_bytes": [len(data)]})
 
     return rows.groupBy("table_key", "path").applyInPandas(write, "table_key string, path string, record_count long, file_size_bytes long")
 
 
-def join_files(sources: Iterable[str], out: str, header: bool = False) -> dict:
+def join_files(sources: Iterable[str], out: str, header: bool = False, sizes: Iterable[int | None] | None = None, rows: Iterable[int | None] | None = None) -> dict:
     """Join files of one kind into ``out``; give the bytes, sources, line ends and CRC of the result.
 
-    ``*.zst``: each source must be whole frames, which are appended as they are.  Other
-    files: newline-delimited; a missing last newline is supplied, so that no record runs
-    into the next, and with ``header`` the first line of all but the first file must be
-    the same and is left out.  Empty files add nothing.  The result is read again and compared
-    by length and CRC before it gets its name; on any failure nothing is left.
+    ``*.zst``: each source must be whole frames, which are appended as they are; where the last record has no newline, a frame with one follows. Headers
+    would have to be expanded, so ``header`` is an error, and ``lines`` is null.  Other files: newline-delimited; a missing last newline is supplied, so
+    that no record runs into the next, and with ``header`` the first line of all but the first file must be
+    the same and is left out.  Empty files add nothing.  A source that has not the bytes or lines (``sizes``, ``rows``, where known) it is listed with is an error.  The
+    result is read again and compared by length and CRC before it gets its name; on any failure nothing is left.  Files are read in blocks.
     """
-    part, total, crc, n, lines, first = f"{out}.{os.getpid()}.part", 0, 0, 0, 0, None
+    files, place = _place(out)
+    part, total, crc, n, lines, first = f"{place}.{uuid.uuid4().hex}.part", 0, 0, 0, 0, None
+    packed = place.endswith(".zst")
+    if packed and header:
+        raise ValueError("headers of compressed files cannot be left out")
+    sources = list(sources)
+    listed = list(zip(sources, sizes or [None] * len(sources), rows or [None] * len(sources), strict=True))
     try:
-        with open(part, "wb") as to:
-            for source in sources:
-                with open(source, "rb") as f:
-                    data = f.read()
-                n += 1
-                if source.endswith(".zst"):
-                    _frames_end(data)
-                elif data:
-                    if header:
-                        line, _, rest = data.partition(b"\n")
-                        if first is None:
-                            first = line
-                        elif line.rstrip(b"\r") != first.rstrip(b"\r"):
-                            raise ValueError(f"header of {source} differs")
-                        else:
-                            data = rest
-                    if data and not data.endswith(b"\n"):
-                        data += b"\n"
+        with files.open_output_stream(part) as to:
+
+            def write(data: bytes) -> None:
+                nonlocal total, crc
                 to.write(data)
                 total += len(data)
-                lines += data.count(b"\n")
                 crc = zlib.crc32(data, crc)
-            to.flush()
-            os.fsync(to.fileno())
-        again = 0
-        with open(part, "rb") as f:
-            while block := f.read(1 << 20):
+
+            for source, size, count in listed:
+                from_, at = _place(source)
+                with from_.open_input_file(at) as f:
+                    if size is not None and f.size() != size:
+                        raise ValueError(f"{source} has {f.size()} bytes, not {size}")
+                    n += 1
+                    if packed:
+                        end = _last_byte(f, _frames(f))
+                        f.seek(0)
+                        while data := f.read(CHUNK):
+                            write(data)
+                        if end not in (b"", b"\n"):
+                            write(NEWLINE_FRAME)
+                        continue
+                    held, last, skip = 0, b"", header
+                    line = b""
+                    while data := f.read(CHUNK):
+                        last = data[-1:]
+                        held += data.count(b"\n")
+                        if skip:
+                            line += data
+                            if b"\n" not in line:
+                                continue
+                            head, _, data = line.partition(b"\n")
+                            skip = False
+                            if first is None:
+                                first = head.rstrip(b"\r")
+                                data = head + b"\n" + data
+                            elif head.rstrip(b"\r") != first:
+                                raise ValueError(f"header of {source} differs")
+                        if data:
+                            write(data)
+                    if skip and line:  # a header without an end
+                        if first is not None and line.rstrip(b"\r") != first:
+                            raise ValueError(f"header of {source} differs")
+                        if first is None:
+                            first = line.rstrip(b"\r")
+                            write(line + b"\n")
+                        lines += 1
+                        last = b""
+                    elif last not in (b"", b"\n"):
+                        write(b"\n")
+                        held += 1
+                    if count is not None and held != count + bool(header):
+                        raise ValueError(f"{source} has {held} lines, not {count}")
+                    lines += held
+        again, length = 0, 0
+        with files.open_input_stream(part) as f:
+            while block := f.read(CHUNK):
                 again = zlib.crc32(block, again)
-        if os.path.getsize(part) != total or again != crc:
+                length += len(block)
+        if length != total or again != crc:
             raise OSError(f"{out}: what was written differs from what was read")
-        os.replace(part, out)
+        files.move(part, place)
     except BaseException:
-        if os.path.exists(part):
-            os.unlink(part)
+        try:
+            files.delete_file(part)
+        except OSError:
+            pass
         raise
-    return {"bytes": total, "sources": n, "lines": lines, "crc32": crc}
+    return {"bytes": total, "sources": n, "lines": None if packed else lines, "crc32": crc}
 
 
-def merge_files(plan: DataFrame, root: str, out: str, header: bool = False) -> DataFrame:
-    """Carry out a plan over files below ``root`` (a folder that all executors see).
+def merge_files(plan: DataFrame, root: str, out: str, header: bool = False, count_lines: bool = False) -> DataFrame:
+    """Carry out a plan over files below ``root`` (a folder that all executors see, by path or URI).
 
-    One row for each target: path, bytes, number of sources, CRC.  The rows of a target are
+    One row for each target: the group's columns, path, bytes, number of sources, lines, CRC.  Each source must have the bytes it is listed with, and with
+    ``count_lines`` its lines must be its record count.  The rows of a target are
     bounded by the plan (its bytes), so each is one task's work; a task that runs again
     writes the same file again under the same name.
     """
-    group = [c for c in plan.columns if c not in ("path", "file_size_bytes", "record_count", "target_no", "target_offset")]
-    targets = plan.groupBy(*group, "target_no").agg(
-        F.sort_array(F.collect_list(F.struct("target_offset", "path"))).alias("__sources")
-    )
-    name = F.xxhash64(*group, "target_no")
+    own = ("path", "file_size_bytes", "record_count", "target_no", "target_offset", "target_files", "target_bytes", "target_rows")
+    group = [c for c in plan.columns if c not in own]
+    source = F.struct("target_offset", "path", "file_size_bytes", "record_count")
+    targets = plan.groupBy(*group, "target_no").agg(F.sort_array(F.collect_list(source)).alias("__sources"))
+    # null and the empty text must not give one name
+    name = F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("null")) for g in group], "target_no")
     # targets are few and heavy: spread them evenly over the tasks
-    targets = targets.select(F.hex(name).alias("name"), "__sources").repartition("name")
+    targets = targets.select(*group, F.hex(name).alias("__name"), "__sources").repartition("__name")
+    kinds = {f.name: f.dataType.simpleString() for f in plan.schema.fields}
 
     def run(batches: Iterator) -> Iterator:
-        os.makedirs(out, exist_ok=True)
+        files, place = _place(out)
+        files.create_dir(place, recursive=True)
         for pdf in batches:
             done = []
-            for key, sources in zip(pdf["name"], pdf["__sources"]):
-                paths = [os.path.join(root, s["path"]) for s in sources]
-                kinds = {os.path.splitext(p)[1] for p in paths}
-                if len(kinds) != 1:
-                    raise ValueError(f"files of several kinds in one target: {sorted(kinds)}")
-                to = os.path.join(out, f"merged-{key}{kinds.pop()}")
-                done.append({"path": to, **join_files(paths, to, header)})
-            yield pd.DataFrame(done, columns=["path", "bytes", "sources", "lines", "crc32"])
-
-    return targets.mapInPandas(run, "path string, bytes long, sources long, lines long, crc32 long")
+            for key, sources in zip(pdf["__name"], pdf["__sources"]):
+                suffixes = {os.path.splitext(s["path"])[1] for s in sources}
+                if len(suffixes) != 1:
+                    raise ValueError(f"files of several kinds in one target: {sorted(suffixes)}")
+                to = f"{out}/merged-{key}{suffixes.pop()}"
+                counts = [s["record_count"] for s in sources] if count_lines else None
+                done.append({"path": to, **join_files([f"{root}/{s['path']}" for s in sources], to, header, [s["file_size_bytes"] for s in sources], counts)})
+            got = pd.DataFrame(done, columns=["path", "bytes", "sources", "lines", "crc32"])
+            got["lines"] = got["lines"].astype("Int64")
+            yield pd.concat([pdf[group].reset_index(drop=True), got], axis=1)
+
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "path string, bytes long, sources long, lines long, crc32 long"])
+    return targets.mapInPandas(run, schema)

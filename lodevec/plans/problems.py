@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevec.operators import changes, drift, smallfiles
-from lodevec.session import cut_lineage, shared_folder, table
+from lodevec.session import cut_lineage, remove_folder, shared_folder, table
 
 INDEX = "ailake_vector_index"  # name of the given table of file entries
 
@@ -35,34 +34,32 @@ def p4_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_plan(spark, d).select("table_key", "path")
+    """The sources of all targets, each target checked: its files lie end to end, without a gap or an overlap."""
+    return smallfiles.checked_plan(p4_plan(spark, d)).select("table_key", "path")
 
 
 def p4_targets(spark: SparkSession, d: str) -> DataFrame:
     """What the merge makes: files, rows and bytes before and after, for each table."""
-    plan = p4_plan(spark, d)
-    per = plan.groupBy("table_key", "partition_value", "target_no").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("record_count").alias("rows"), F.sum("file_size_bytes").alias("bytes")
-    )
-    return per.groupBy("table_key").agg(
-        F.sum("n").alias("files_before"), F.count(F.lit(1)).alias("files_after"), F.sum("rows").alias("n_rows"), F.sum("bytes").alias("n_bytes")
+    plan = smallfiles.checked_plan(p4_plan(spark, d))
+    first = F.when(F.col("target_offset") == 0, 1).otherwise(0)
+    return plan.groupBy("table_key").agg(
+        F.count(F.lit(1)).alias("files_before"), F.sum(first).alias("files_after"), F.sum("record_count").alias("n_rows"), F.sum("file_size_bytes").alias("n_bytes")
     )
 
 
 def p4_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The merge itself, over the records at hand: the records of each file of ``raw_ingest`` are written as a small file of lines,
-    the files are planned and joined byte by byte, and each target is counted again: lines and bytes before and after."""
-    root = os.path.join(shared_folder(spark).removeprefix("file://"), "lines", uuid.uuid4().hex)
+    """The merge itself, over the records at hand: the records of each file of ``raw_ingest`` are written as a small file of lines, the files of each table are planned and
+    joined byte by byte against their listed bytes and lines, and each target is counted: lines and bytes before and after."""
+    root = f"{shared_folder(spark)}/lines/{uuid.uuid4().hex}"
     rows = table(spark, d, "raw_ingest").where("record is not null").select("table_key", "path", "row_no", "record")
     listed = smallfiles.write_lines(rows, root).select("table_key", "path", "record_count", "file_size_bytes", F.lit(None).cast("string").alias("partition_value"), F.lit(True).alias("active"))
-    listed = cut_lineage(listed)
-    plan = smallfiles.plan_merge(listed, target=4 << 20, group=("partition_value",))
-    none = F.lit(0).cast("long")
-    before = plan.select(F.lit(1).alias("f0"), F.col("record_count").alias("l0"), F.col("file_size_bytes").alias("b0"), none.alias("f1"), none.alias("l1"), none.alias("b1"))
-    done = smallfiles.merge_files(plan, root, f"{root}/merged")
-    after = done.select(none.alias("f0"), none.alias("l0"), none.alias("b0"), F.lit(1).alias("f1"), F.col("lines").alias("l1"), F.col("bytes").alias("b1"))
-    names = {"f0": "files_before", "l0": "lines_before", "b0": "bytes_before", "f1": "files_after", "l1": "lines_after", "b1": "bytes_after"}
-    return before.unionByName(after).agg(*[F.sum(c).cast("long").alias(n) for c, n in names.items()])
+    plan = smallfiles.plan_merge(cut_lineage(listed))
+    before = plan.groupBy("table_key").agg(F.count(F.lit(1)).alias("files_before"), F.sum("record_count").alias("lines_before"), F.sum("file_size_bytes").alias("bytes_before"))
+    done = cut_lineage(smallfiles.merge_files(plan, root, f"{root}/merged", count_lines=True))
+    after = done.groupBy("table_key").agg(F.count(F.lit(1)).alias("files_after"), F.sum("lines").alias("lines_after"), F.sum("bytes").alias("bytes_after"))
+    out = cut_lineage(before.join(after, "table_key"))
+    remove_folder(spark, root)
+    return out
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -117,6 +114,13 @@ small as (
     and f.partition_value is not distinct from g.partition_value)
 """
 
+# the order within a group is by size only where the group is one part, as all are here
+_TARGETS = _SMALL + """,
+b as (select *, coalesce(sum(file_size_bytes) over (partition by table_key, partition_value order by file_size_bytes desc, path rows between unbounded preceding and 1 preceding), 0) before from small),
+bins as (select *, before // 134217728 bin from b),
+final as (select *, case when count(*) over (partition by table_key, partition_value, bin) = 1 and bin > 0 then bin - 1 else bin end t from bins)
+"""
+
 _FIELDS = """
 with spell(a, b) as (values ('int','int'),('integer','int'),('int32','int'),('long','long'),('bigint','long'),('int64','long'),
   ('float','float'),('float32','float'),('double','double'),('float64','double'),('string','string'),('utf8','string'),
@@ -141,6 +145,15 @@ SQL: dict[str, str] = {
     "p1_found": _NOW + "select * from now",
     "p1_current_rows": _NOW + "select table_key, count(*) n_rows, max(sequence_number) last_sequence, cast(sum(id) as bigint) sum_id from now group by all",
     "p4_found": _SMALL + "select table_key, path from small",
+    "p4_targets": _TARGETS
+    + """
+select table_key, count(*) files_before, count(distinct (partition_value is null, partition_value, t)) files_after, sum(record_count)::bigint n_rows, sum(file_size_bytes)::bigint n_bytes
+from final group by all""",
+    "p4_merge": """
+with w as (
+  select table_key, path, count(*) n, sum(strlen(replace(replace(record, chr(13), ' '), chr(10), ' ')) + 1) b from raw_ingest where record is not null group by all)
+select table_key, count(*) files_before, sum(n)::bigint lines_before, sum(b)::bigint bytes_before, 1::bigint files_after, sum(n)::bigint lines_after, sum(b)::bigint bytes_after
+from w group by all having count(*) >= 2""",
     "p6_found": _FIELDS + """
 select table_key, path, 'added' change_kind, name field_name from cur anti join old using (table_key, no, k)
 union select table_key, path, 'removed', name from old anti join cur using (table_key, no, k)

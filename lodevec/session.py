@@ -55,3 +55,9 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder for tables that several executors write and read."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     return place or os.path.join(tempfile.gettempdir(), "lodevec-shared")
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

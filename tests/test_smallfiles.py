@@ -37,9 +37,11 @@ def _index(spark, sizes, group=("t", None)):
 
 def test_every_file_once_and_offsets_add_up(spark):
     sizes = [(i * 7919) % 900 + 1 for i in range(3000)]
-    plan = sf.plan_merge(_index(spark, sizes), small=10_000, target=20_000, split=512).collect()
+    plan = sf.checked_plan(sf.plan_merge(_index(spark, sizes), small=10_000, target=20_000, split=512)).collect()
     assert len(plan) == 3000 == len({r["path"] for r in plan})
     by = {}
+    with pytest.raises(ValueError):
+        sf.plan_merge(_index(spark, sizes), small=10_000, target=19_999)
     for r in plan:
         by.setdefault(r["target_no"], []).append(r)
     for rows in by.values():
@@ -48,10 +50,18 @@ def test_every_file_once_and_offsets_add_up(spark):
         for r in sorted(rows, key=lambda r: r["target_offset"]):
             assert r["target_offset"] == at
             at += r["file_size_bytes"]
-        assert at <= 20_000 + 2 * 900
+        assert at <= 20_000 + 2 * 900 and {(r["target_files"], r["target_bytes"], r["target_rows"]) for r in rows} == {(len(rows), at, len(rows))}
     assert sum(r["file_size_bytes"] for r in plan) == sum(sizes)
 
 
+def test_unsound_targets_are_an_error(spark):
+    plan = sf.plan_merge(_index(spark, [5, 7, 9]), small=10, target=20)
+    assert sf.checked_plan(plan).count() == 3
+    for wrong in (plan.where("target_offset > 0"), plan.withColumn("target_offset", F.col("target_offset") + F.col("target_offset") % 2)):
+        with pytest.raises(Exception, match="end to end"):
+            sf.checked_plan(wrong).collect()
+
+
 def test_left_out(spark):
     rows = [
         ("t", "data/x/1", 1, 5, "p", True), ("t", "./data/x/1", 1, 5, "p", True), ("t", "data/x/2", 1, 5, "p", False), ("t", "data/x/3", 1, 0, "p", True),
@@ -90,8 +100,17 @@ def test_zstandard_frames(tmp_path):
         (tmp_path / f"{i}.zst").write_bytes(body)
         paths.append(str(tmp_path / f"{i}.zst"))
     sf.join_files(paths, str(tmp_path / "out.zst"))
-    with open(tmp_path / "out.zst", "rb") as f:
-        assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read() == b"".join(parts)
+    def expand(name):
+        with open(tmp_path / name, "rb") as f:
+            return zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+
+    end = b"" if parts[3].endswith(b"\n") else b"\n"
+    assert expand("out.zst") == b"".join(parts) + end
+    (tmp_path / "a.zst").write_bytes(zstandard.compress(b"no end") + zstandard.compress(b""))
+    sf.join_files([str(tmp_path / "a.zst"), paths[0], str(tmp_path / "a.zst")], str(tmp_path / "two.zst"))
+    assert expand("two.zst") == b"no end\n" + parts[0] + b"no end\n"
+    with pytest.raises(ValueError):
+        sf.join_files(paths, str(tmp_path / "h.zst"), header=True)
     whole = (tmp_path / "3.zst").read_bytes()
     for bad in (whole[:-5], whole + b"x", b"no frame"):
         (tmp_path / "bad.zst").write_bytes(bad)
@@ -111,6 +130,17 @@ def test_headers(tmp_path):
         sf.join_files([*paths, str(tmp_path / "3.csv")], str(tmp_path / "o2.csv"), header=True)
 
 
+def test_listed_bytes_and_lines_must_be_there(tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"1\n2\n")
+    (tmp_path / "b.jsonl").write_bytes(b"3")
+    a, b, out = str(tmp_path / "a.jsonl"), "file://" + str(tmp_path / "b.jsonl"), str(tmp_path / "o.jsonl")
+    for sizes, rows in (([4, 2], None), ([4, 1], [2, 2]), ([3, 1], [2, 1])):
+        with pytest.raises(ValueError):
+            sf.join_files([a, b], out, sizes=sizes, rows=rows)
+        assert not os.path.exists(out) and not list(tmp_path.glob("*.part"))
+    assert sf.join_files([a, b], out, sizes=[4, None], rows=[2, 1])["lines"] == 3 and open(out, "rb").read() == b"1\n2\n3\n"
+
+
 def test_merge_on_the_cluster(spark, tmp_path):
     rows = []
     for i in range(40):
@@ -119,7 +149,7 @@ def test_merge_on_the_cluster(spark, tmp_path):
         (tmp_path / "data/x").mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(body)
         rows.append(("t", p, i % 5 + 1, len(body), str(i % 2), True))
-    plan = sf.plan_merge(spark.createDataFrame(rows, INDEX), small=10_000, target=300)
+    plan = sf.plan_merge(spark.createDataFrame(rows, INDEX), small=150, target=300)
     done = sf.merge_files(plan, str(tmp_path), str(tmp_path / "out")).collect()
     assert sum(r["sources"] for r in done) == 40
     got = spark.read.json([r["path"] for r in done])
@@ -129,6 +159,6 @@ def test_merge_on_the_cluster(spark, tmp_path):
 def test_merge_of_the_given_records(spark, data):
     from lodevec.plans.problems import p4_merge
 
-    r = p4_merge(spark, data).first()
-    assert r["lines_before"] == r["lines_after"] > 0 and r["bytes_before"] == r["bytes_after"] > 0
-    assert r["files_after"] < r["files_before"]
+    for r in p4_merge(spark, data).collect():
+        assert r["lines_before"] == r["lines_after"] > 0 and r["bytes_before"] == r["bytes_after"] > 0
+        assert r["files_after"] < r["files_before"]
