@@ -50,6 +50,17 @@ def fold_types(types) -> str:
     return out or "string"
 
 
+def folded_type(types: str) -> Column:
+    """:func:`fold_types` over an array column: the first type, narrower ones before wider, that every one of them may be widened to."""
+    known = F.transform(types, lambda t: F.when(t.isin(*WIDER), t).otherwise(F.lit("string")))
+    out = None
+    for t in sorted(WIDER, key=lambda t: sum(t in w for w in WIDER.values())):
+        narrower = [a for a, wider in WIDER.items() if t in wider]
+        fits = F.size(F.array_except(known, F.array(*[F.lit(a) for a in narrower]))) == 0
+        out = F.when(fits, F.lit(t)) if out is None else out.when(fits, F.lit(t))
+    return F.when(F.size(types) == 0, F.lit("string")).otherwise(out)
+
+
 def type_name(col: Column) -> Column:
     """The meaning of a type's spelling; an unknown one keeps its lower-case text."""
     text = F.regexp_replace(F.lower(F.trim(col)), r"\s+", "")
@@ -96,14 +107,14 @@ def with_previous(files: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out.withColumn("before", before).drop("__b", "__rn", "__prev", "__edge")
 
 
-def schema_changes(files: DataFrame) -> DataFrame:
+def schema_changes(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """Differences of each file from the one before it in its table.
 
     Result: table_key, path, sequence_number, change_kind, field_name, old_type, new_type.
     If every field of both files has an id, fields are matched by id, else by name.
-    The first file of a table has no differences.
+    The first file of a table has no differences.  ``parsed`` are the files' fields, if they are at hand.
     """
-    pairs = with_previous(file_fields(files)).where(F.col("before").isNotNull())
+    pairs = with_previous(file_fields(files) if parsed is None else parsed).where(F.col("before").isNotNull())
     cur, old = F.col("fields"), F.col("before")
     # over an array column, the flag is computed once for each row
     pairs = pairs.withColumn("__by_id", F.forall(cur, lambda f: f["id"].isNotNull()) & F.forall(old, lambda f: f["id"].isNotNull()))
@@ -130,10 +141,10 @@ def schema_changes(files: DataFrame) -> DataFrame:
     return rows.select("table_key", "path", "sequence_number", "c.*").distinct()
 
 
-def guessed_renames(files: DataFrame) -> DataFrame:
+def guessed_renames(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """(table_key, name, was): names that took another's place where a file without ids had exactly one field more and one
     less than the file before, of the same type.  Reports never use the guess, only the table that brings all files together."""
-    c = schema_changes(files).where(F.col("change_kind").isin("added", "removed"))
+    c = schema_changes(files, parsed).where(F.col("change_kind").isin("added", "removed"))
     one = c.groupBy("table_key", "path", "sequence_number").agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.when(F.col("change_kind") == "added", F.struct(F.col("field_name").alias("f"), F.col("new_type").alias("t")))).alias("a"),
@@ -143,30 +154,44 @@ def guessed_renames(files: DataFrame) -> DataFrame:
     return one.groupBy("table_key", F.col("a.f").alias("name")).agg(F.min_by("r.f", "sequence_number").alias("was"))
 
 
+def rename_chains(guess: DataFrame) -> DataFrame:
+    """(table_key, name, chain): the names a name has replaced, one after the other, latest first; a chain ends before a name comes again.
+
+    The guesses of one table are at most as many as its names.
+    """
+    all_of = guess.groupBy(F.col("table_key").alias("__t")).agg(F.map_from_entries(F.collect_list(F.struct("name", "was"))).alias("__was"))
+
+    def step(chain: Column, _: Column) -> Column:
+        was = F.try_element_at(F.col("__was"), F.element_at(chain, -1))
+        return F.when(was.isNull() | F.array_contains(chain, was), chain).otherwise(F.concat(chain, F.array(was)))
+
+    chain = F.aggregate(F.sequence(F.lit(1), F.size("__was")), F.array("name"), step)
+    out = guess.join(all_of, F.col("table_key").eqNullSafe(F.col("__t"))).withColumn("__n", chain)
+    return out.select("table_key", "name", F.slice("__n", 2, F.size("__n")).alias("chain"))
+
+
 def field_lineage(files: DataFrame, vectors: DataFrame | None = None, vector_name: str = "embedding") -> DataFrame:
     """For each file and field: ``canonical`` name, the first one its lineage had.
 
     A lineage is a field id within a table.  A file that lists no ids lends them: from the id that last took the name by
-    then (else from the first one that took it later), else (up to two steps back) from the name it seems to have replaced,
-    see :func:`guessed_renames`; else the name itself is the lineage.  ``vectors`` (table_key, path, vector_column) tells each
+    then (else from the first one that took it later), else from the name it seems to have replaced, or that one before,
+    however many times, see :func:`rename_chains`; else the name itself is the lineage.  ``vectors`` (table_key, path, vector_column) tells each
     file's vector field, which is called ``vector_name``; in a file without such an entry it is the field of that lineage or name.
 
     Different fields of a file are of different lineages: where two claim one, an id goes before a lent one and that before a
     guess, and the other field is a lineage by itself.  Lineages of a table have different canonical names: of those
     with one first name the vector, then the oldest, keeps it, the others are called ``name#2``, ``name#3`` and so on.
     """
-    each = file_fields(files).select("table_key", "path", "sequence_number", F.explode("fields").alias("f"))
+    parsed = cut_lineage(file_fields(files))  # read by every step
+    each = parsed.select("table_key", "path", "sequence_number", F.explode("fields").alias("f"))
     each = each.select("table_key", "path", "sequence_number", F.col("f.id").alias("id"), F.col("f.name").alias("name"), F.col("f.type").alias("type"))
     with_id = each.where(F.col("id").isNotNull())
     known = with_id.groupBy("table_key", "name", "id").agg(F.min("sequence_number").alias("since"))
     known = known.groupBy("table_key", "name").agg(F.array_sort(F.collect_list(F.struct("since", "id"))).alias("owners"))
     first = with_id.groupBy(F.col("table_key"), F.col("id").alias("lineage")).agg(F.min_by("name", F.struct("sequence_number", "name")).alias("first_name"))
-    guess = guessed_renames(files)
-    older = guess.select("table_key", F.col("name").alias("was"), F.col("was").alias("was2"))
-    guess = guess.join(older, ["table_key", "was"], "left")
-    for step, name in ((1, "was"), (2, "was2")):
-        guess = guess.join(known.select("table_key", F.col("name").alias(name), F.col("owners").alias(f"owners{step}")), ["table_key", name], "left")
-    guess = guess.select("table_key", "name", F.coalesce("owners1", "owners2").alias("older_owners"), F.coalesce("was2", "was").alias("oldest"))
+    chains = rename_chains(guessed_renames(files, parsed))
+    older = chains.select("table_key", "name", F.posexplode("chain").alias("at", "was")).join(known.select("table_key", F.col("name").alias("was"), F.col("owners").alias("older")), ["table_key", "was"], "left")
+    guess = older.groupBy("table_key", "name").agg(F.min_by("older", F.when(F.col("older").isNotNull(), F.col("at"))).alias("older_owners"), F.max_by("was", "at").alias("oldest"))
 
     def owner(column: str) -> Column:
         by_then = F.filter(column, lambda o: o["since"] <= F.col("sequence_number"))
@@ -219,18 +244,7 @@ def _union(fields: DataFrame) -> DataFrame:
     grouped = fields.groupBy(F.col("canonical").alias("field_name")).agg(
         F.collect_set("type").alias("types"), F.collect_set("name").alias("names"), F.count(F.lit(1)).alias("n_files")
     )
-    have = lambda *ts: F.exists("types", lambda t: t.isin(*ts))
-    odd = F.exists("types", lambda t: ~t.isin(*WIDER))
-    n = F.size("types")
-    numeric = F.forall("types", lambda t: t.isin("int", "long", "float", "double"))
-    folded = (
-        F.when(odd | have("string"), F.lit("string"))
-        .when(n == 1, F.get("types", F.lit(0)))
-        .when(numeric & ~have("float", "double"), F.lit("long"))
-        .when(numeric, F.lit("double"))
-        .otherwise(F.lit("string"))
-    )
-    return grouped.select("field_name", folded.alias("field_type"), F.array_join(F.array_sort("names"), ",").alias("spellings"), "n_files")
+    return grouped.select("field_name", folded_type("types").alias("field_type"), F.array_join(F.array_sort("names"), ",").alias("spellings"), "n_files")
 
 
 def read_drifting(files: DataFrame, records: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
@@ -246,31 +260,28 @@ def read_drifting(files: DataFrame, records: DataFrame, vectors: DataFrame | Non
     fields = _union(lineage).select("field_name", "field_type").orderBy("field_name").limit(10_001).collect()
     if len(fields) > 10_000:
         raise ValueError("more than 10,000 different fields: this is no drifting table")
-    names = lineage.groupBy("table_key", "path").agg(F.collect_set(F.struct("name", "canonical")).alias("__names"))
+    # a name of a file has one canonical name; the map of a file is as small as the file's schema
+    names = lineage.groupBy("table_key", "path", "name").agg(F.min("canonical").alias("canonical"))
+    names = names.groupBy("table_key", "path").agg(F.map_from_entries(F.collect_list(F.struct("name", "canonical"))).alias("__names"))
     rows = records.select("table_key", "path", "row_no", "record").distinct().join(names, ["table_key", "path"], "left")
     parsed = F.from_json("record", "map<string,string>")
     entries = F.transform(
         F.filter(F.map_entries(parsed), lambda e: e["value"].isNotNull()),
-        lambda e: F.struct(
-            F.coalesce(F.get(F.filter("__names", lambda n: n["name"] == F.lower(e["key"])), 0)["canonical"], F.lower(e["key"])).alias("key"),
-            e["value"].alias("value"),
-            e["key"].alias("name"),
-        ),
+        lambda e: F.struct(F.coalesce(F.try_element_at("__names", F.lower(e["key"])), F.lower(e["key"])).alias("key"), e["value"].alias("value"), e["key"].alias("name")),
     )
-    rows = rows.withColumn("__entries", entries)
+    rows = rows.withColumn("__entries", entries).withColumn("__keys", F.transform("__entries", lambda e: e["key"]))
+    listed = F.array(*[F.lit(name) for name, _ in fields]).cast("array<string>")
+    first = lambda e, i: F.array_contains(listed, e["key"]) & (F.array_position("__keys", e["key"]) == i + 1)
+    held = F.transform(F.filter("__entries", first), lambda e: F.struct(e["key"], e["value"]))
+    rows = rows.withColumn("__values", F.map_from_entries(held))
     kept = {"table_key", "path", "row_no", "_damaged", "_rest"}
     columns = []
-    def value_of(name: str) -> Column:
-        return F.get(F.filter("__entries", lambda e: e["key"] == F.lit(name)), 0)["value"]
-
     for name, kind in fields:
-        raw = value_of(name)
+        raw = F.try_element_at("__values", F.lit(name))
         value = F.from_json(raw, "array<float>") if kind == "list<float>" else raw.try_cast(SQL_TYPE[kind])
         columns.append(value.alias(f"{name}_field" if name in kept else name))
     damaged = F.when(F.col("__entries").isNull(), F.col("record")).alias("_damaged")
-    listed = F.array(*[F.lit(name) for name, _ in fields]).cast("array<string>")
-    keys = F.transform("__entries", lambda e: e["key"])
-    rest = F.filter("__entries", lambda e, i: ~F.array_contains(listed, e["key"]) | (F.array_position(keys, e["key"]) != i + 1))
+    rest = F.filter("__entries", lambda e, i: ~first(e, i))
     rest = F.transform(rest, lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value")))
     rest = F.when(F.size(rest) > 0, F.to_json(rest)).alias("_rest")
     return rows.select("table_key", "path", "row_no", *columns, damaged, rest)

@@ -20,13 +20,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_current_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The rebuilt rows themselves; the vector is given by its sum, as text and SQL engines print arrays differently."""
+    """The rebuilt rows with their text; the vector is given by its length and the sum of its usable components, as engines print arrays differently."""
     now = changes.apply_changes(table(spark, d, "read_changes"))
-    return now.groupBy("table_key").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.max("_sequence_number").alias("last_sequence"),
-        F.sum(F.col("id")).alias("sum_id"),
-    )
+    good = F.filter("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30))
+    total = F.aggregate(good, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return now.select("table_key", "id", F.col("_sequence_number").alias("sequence_number"), "text", F.size("embedding").cast("long").alias("n_components"), (F.round(total, 4) + 0.0).alias("vector_sum"))
 
 
 def p4_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -92,13 +90,13 @@ with k as (
   from (select *, lower(trim(_change_type)) t from read_changes)),
 s as (select table_key, _snapshot_id, max(_sequence_number) seq from k where _snapshot_id is not null group by all),
 r as (
-  select k.table_key, k.id, k.kind, coalesce(k._sequence_number, s.seq) seq, k.arrival_no
+  select k.table_key, k.id, k.kind, coalesce(k._sequence_number, s.seq) seq, k.arrival_no, k.text, k.embedding
   from k left join s on k.table_key is not distinct from s.table_key and k._snapshot_id = s._snapshot_id
   where kind in ('insert', 'delete', 'update_after')),
 w as (
   select *, row_number() over (partition by table_key, id
     order by seq desc nulls last, (kind = 'delete') asc, arrival_no desc nulls last) rn from r),
-now as (select table_key, id, seq sequence_number from w where rn = 1 and kind <> 'delete')
+now as (select table_key, id, seq sequence_number, text, embedding from w where rn = 1 and kind <> 'delete')
 """
 
 _SMALL = """
@@ -142,8 +140,11 @@ old as (select pr.*, e.id, e.name, e.type, case when by_id then cast(e.id as var
 """
 
 SQL: dict[str, str] = {
-    "p1_found": _NOW + "select * from now",
-    "p1_current_rows": _NOW + "select table_key, count(*) n_rows, max(sequence_number) last_sequence, cast(sum(id) as bigint) sum_id from now group by all",
+    "p1_found": _NOW + "select table_key, id, sequence_number from now",
+    "p1_current_rows": _NOW
+    + """
+select table_key, id, sequence_number, text, len(embedding) n_components,
+  round(coalesce(list_sum(list_filter(embedding, lambda x: x is not null and not isnan(x) and abs(x) < 1e30)::double[]), case when embedding is not null then 0 end), 4) + 0.0 vector_sum from now""",
     "p4_found": _SMALL + "select table_key, path from small",
     "p4_targets": _TARGETS
     + """

@@ -130,3 +130,22 @@ def test_fields_of_a_file_have_different_columns(spark):
     got = {(r["path"], r["name"]): r["canonical"] for r in drift.field_lineage(f, vectors).collect()}
     assert got["p1", "vec"] == got["p2", "vec"] == got["p4", "vec"] == "embedding" and got["p4", "embedding"] == "embedding#2"
     assert got["p2", "body"] == got["p3", "text"] == "text" and got["p3", "body"] == "body"
+
+
+def test_rename_chains_of_any_length(spark):
+    pairs = [("t", "b", "a"), ("t", "c", "b"), ("t", "d", "c"), ("t", "e", "d"), ("t", "y", "x"), ("t", "x", "y"), ("u", "b", "q")]
+    got = drift.rename_chains(spark.createDataFrame(pairs, "table_key string, name string, was string"))
+    chains = {(r["table_key"], r["name"]): r["chain"] for r in got.collect()}
+    assert chains["t", "e"] == ["d", "c", "b", "a"] and chains["t", "b"] == ["a"] and chains["u", "b"] == ["q"]
+    assert chains["t", "x"] == ["y"] and chains["t", "y"] == ["x"]
+
+
+def test_three_renames_without_ids_are_one_field(spark):
+    files, records = [], []
+    for i, name in enumerate(["text", "body", "content", "passage"]):
+        files.append(("t", f"f{i}", i, json.dumps({"fields": [{"name": "id", "type": "long"}, {"name": name, "type": "string"}]})))
+        records.append(("t", f"f{i}", 0, json.dumps({"id": i, name: f"v{i}"})))
+    files = spark.createDataFrame(files, "table_key string, path string, sequence_number long, schema_json string")
+    out = drift.read_drifting(files, spark.createDataFrame(records, "table_key string, path string, row_no int, record string"))
+    assert out.columns == ["table_key", "path", "row_no", "id", "text", "_damaged", "_rest"]
+    assert sorted((r["id"], r["text"], r["_rest"]) for r in out.collect()) == [(i, f"v{i}", None) for i in range(4)]
