@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodevec.session import cut_lineage
+
 # Bounds of the squashed values: the worst returned row still has FLOOR, one not returned MISSING.
 FLOOR = 0.05
 MISSING = 0.04
@@ -45,7 +47,7 @@ def combine_scores(
     far off.  Infinite scores are the best or worst.  Ties of the combined value go by the lower item.
     """
     known = scores.where(usable(F.col(score)) & F.col(arm).isin(*weights) & F.col(query).isNotNull() & F.col(item).isNotNull())
-    best = known.groupBy(query, arm, item).agg(F.max(F.col(score).cast("double")).alias("s"))
+    best = cut_lineage(known.groupBy(query, arm, item).agg(F.max(F.col(score).cast("double")).alias("s")))  # read three times
     # both aggregations combine on the map side; their results have one row for each query and arm
     middle = best.groupBy(query, arm).agg(F.percentile_approx("s", 0.5, ACCURACY).alias("med"))
     away = best.join(middle, [query, arm]).withColumn("dev", F.abs(F.col("s") - F.col("med")))
