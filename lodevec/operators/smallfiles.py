@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodevec.sources.files import place
+
 SMALL_BYTES = 16 * 1024 * 1024
 TARGET_BYTES = 128 * 1024 * 1024
 SPLIT_FILES = 4096
@@ -115,15 +117,6 @@ def checked_plan(plan: DataFrame, path: str = "path", size: str = "file_size_byt
     return plan.withColumn("__sound", sound).where(F.when(F.col("__sound"), True).otherwise(F.raise_error(F.lit("files of a target do not lie end to end")))).drop("__sound")
 
 
-def _place(path: str):
-    """(file system, path in it) of a path or URI, on whatever machine this runs; any scheme that Arrow's file systems know."""
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
-    return fs.LocalFileSystem(), path
-
-
 def _frames(f) -> list[int]:
     """First bytes of the zstandard frames of an open file; an error unless it is a run of complete frames.  Only headers are read."""
     n, at, starts = f.size(), 0, []
@@ -187,12 +180,12 @@ def write_lines(rows: DataFrame, root: str) -> DataFrame:
         pdf = pdf.sort_values(["row_no", "record"])
         name = key[1].lstrip("/")
         data = "".join(r.replace("\r", " ").replace("\n", " ") + "\n" for r in pdf["record"]).encode()
-        files, place = _place(f"{root}/{name}")
-        files.create_dir(place.rpartition("/")[0], recursive=True)
-        part = f"{place}.{uuid.uuid4().hex}.part"
+        files, at = place(f"{root}/{name}")
+        files.create_dir(at.rpartition("/")[0], recursive=True)
+        part = f"{at}.{uuid.uuid4().hex}.part"
         with files.open_output_stream(part) as f:
             f.write(data)
-        files.move(part, place)
+        files.move(part, at)
         return pd.DataFrame({"table_key": [key[0]], "path": [name], "record_count": [len(pdf)], "file_size_bytes": [len(data)]})
 
     return rows.groupBy("table_key", "path").applyInPandas(write, "table_key string, path string, record_count long, file_size_bytes long")
@@ -207,9 +200,9 @@ def join_files(sources: Iterable[str], out: str, header: bool = False, sizes: It
     the same and is left out.  Empty files add nothing.  A source that has not the bytes or lines (``sizes``, ``rows``, where known) it is listed with is an error.  The
     result is read again and compared by length and CRC before it gets its name; on any failure nothing is left.  Files are read in blocks.
     """
-    files, place = _place(out)
-    part, total, crc, n, lines, first = f"{place}.{uuid.uuid4().hex}.part", 0, 0, 0, 0, None
-    packed = place.endswith(".zst")
+    files, whole = place(out)
+    part, total, crc, n, lines, first = f"{whole}.{uuid.uuid4().hex}.part", 0, 0, 0, 0, None
+    packed = whole.endswith(".zst")
     if packed and header:
         raise ValueError("headers of compressed files cannot be left out")
     sources = list(sources)
@@ -224,7 +217,7 @@ def join_files(sources: Iterable[str], out: str, header: bool = False, sizes: It
                 crc = zlib.crc32(data, crc)
 
             for source, size, count in listed:
-                from_, at = _place(source)
+                from_, at = place(source)
                 with from_.open_input_file(at) as f:
                     if size is not None and f.size() != size:
                         raise ValueError(f"{source} has {f.size()} bytes, not {size}")
@@ -276,7 +269,7 @@ def join_files(sources: Iterable[str], out: str, header: bool = False, sizes: It
                 length += len(block)
         if length != total or again != crc:
             raise OSError(f"{out}: what was written differs from what was read")
-        files.move(part, place)
+        files.move(part, whole)
     except BaseException:
         try:
             files.delete_file(part)
@@ -305,8 +298,8 @@ def merge_files(plan: DataFrame, root: str, out: str, header: bool = False, coun
     kinds = {f.name: f.dataType.simpleString() for f in plan.schema.fields}
 
     def run(batches: Iterator) -> Iterator:
-        files, place = _place(out)
-        files.create_dir(place, recursive=True)
+        files, folder = place(out)
+        files.create_dir(folder, recursive=True)
         for pdf in batches:
             done = []
             for key, sources in zip(pdf["__name"], pdf["__sources"]):

@@ -555,13 +555,19 @@ def partition_stats(spark, d):
     return t.partition_stats().select("partition_value", "rows")
 
 
-@query("select count(*) rows, cast(0 as bigint) indexing, cast(0 as bigint) failed from embeddings")
+@query("""
+select 'early' as "when", count(*) filter (label < 3) as "rows", 1 indexed, 0 indexing from embeddings
+union all select 'late', count(*), 1, 1 from embeddings union all select 'done', count(*), 2, 0 from embeddings""")
 def table_info(spark, d):
+    """Rows and files by index status: after an append, after a deferred one, and after its indexing."""
     e = _emb(spark, d)
     t = Table.create(spark, _place(spark, "vectors"), e.schema, vectors=[VectorColumn("embedding", 64)])
-    t.append(e, deferred=True)
+    t.append(e.where("label < 3").coalesce(1))
+    out = t.info().withColumn("when", F.lit("early"))
+    t.append(e.where("label >= 3").coalesce(1), deferred=True)
+    out = out.unionByName(t.info().withColumn("when", F.lit("late")))
     t.index_files()
-    return t.info().select("rows", "indexing", "failed")
+    return out.unionByName(t.info().withColumn("when", F.lit("done"))).select("when", "rows", F.col("indexed").cast("int").alias("indexed"), F.col("indexing").cast("int").alias("indexing"))
 
 
 @query(f"with e as ({_E}) select vec_id, round(list_cosine_distance(v, {_Q0}), 6) dist from e where label <> 3 order by list_cosine_distance(v, {_Q0}), vec_id limit 10")
@@ -585,13 +591,19 @@ def migrate_vectors(spark, d):
 
 
 @query("""
-select l_returnflag, l_linestatus, count(*) n_rows, count(l_shipdate) n_dates, min(l_quantity) least, max(l_quantity) greatest,
-  count(distinct l_suppkey) suppliers from lineitem group by all""")
+select 'l_orderkey' as "column", count(l_orderkey) as n_values, count(*) - count(l_orderkey) as n_nulls, min(l_orderkey)::double least, max(l_orderkey)::double greatest from lineitem
+union all select 'l_quantity', count(l_quantity), count(*) - count(l_quantity), min(l_quantity)::double, max(l_quantity)::double from lineitem
+union all select 'l_linestatus', count(l_linestatus), count(*) - count(l_linestatus), null, null from lineitem
+union all select 'late', count(*) filter (l_linenumber > 3), count(*) filter (l_linenumber <= 3), min(l_extendedprice) filter (l_linenumber > 3)::double, max(l_extendedprice) filter (l_linenumber > 3)::double from lineitem""")
 def column_stats(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("l_shipdate").alias("n_dates"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("greatest"),
-        F.count_distinct("l_suppkey").alias("suppliers"),
-    )
+    """Facts of the data files of a table, from their footers, put together by column."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_linestatus", F.when(F.col("l_linenumber") > 3, F.col("l_extendedprice")).alias("late"))
+    t = Table.create(spark, _place(spark, "lines"), li.schema)
+    t.append(li)
+    number = lambda c: F.col(c).try_cast("double")
+    return t.column_stats().groupBy("column").agg(
+        F.sum("values").alias("n_values"), F.sum("nulls").alias("n_nulls"), F.min(number("least")).alias("least"), F.max(number("greatest")).alias("greatest")
+    )
 
 
 @query("select o_custkey - ((o_custkey % 100) + 100) % 100 bucket, substr(o_orderpriority, 1, 3) prefix, count(*) n from orders group by all")

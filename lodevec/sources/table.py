@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodevec.functions.vectors import centroid_radius, problem
+from lodevec.functions.vectors import problem
+from lodevec.sources.files import describe, partition_values
 from lodevec.sources.log import Log, new_id, now_ms
 
 FILE = "_file"
@@ -24,9 +25,11 @@ POSITION = "_position"
 ROW_ID = "_row_id"
 KEPT_ID = "__row_id"  # physical column of rewritten files
 
+MAX_MANIFESTS = 16
+
 MANIFEST = (
     "path string, record_count long, file_size_bytes long, sequence_number long, schema_id int, partition_value string, "
-    "first_row_id long, batch_id string, index_status string, centroid array<double>, radius double, keeps_ids boolean"
+    "first_row_id long, batch_id string, index_status string, centroid array<double>, radius double, keeps_ids boolean, facts string"
 )
 
 
@@ -185,27 +188,23 @@ class Table:
         sizes = self.log.list_files(folder)
         if not sizes:
             return []
-        back = self.spark.read.schema(out.schema).parquet(*[p for p, _ in sizes]).withColumn(FILE, _plain(F.col("_metadata.file_path")))
-        value = F.concat_ws("\x1f", *[F.coalesce(F.col(ids[p]).cast("string"), F.lit("")) for p in parts]) if parts else F.lit(None).cast("string")
-        stats = back.groupBy(FILE).agg(F.count(F.lit(1)).alias("n"), F.first(value).alias("pv"))
-        if meta["vectors"] and status == "ready" and ids.get(meta["vectors"][0]["name"]) in back.columns:
-            v = meta["vectors"][0]
-            geometry = centroid_radius(back.select(FILE, ids[v["name"]]), ids[v["name"]], [FILE], v["metric"])
-            stats = stats.join(geometry.select(FILE, "centroid", "radius"), FILE, "left")
-        else:
-            stats = stats.withColumn("centroid", F.lit(None).cast("array<double>")).withColumn("radius", F.lit(None).cast("double"))
-        size_of, entries = dict(sizes), []
-        for r in stats.orderBy(FILE).toLocalIterator():
-            entries.append({
-                "path": r[FILE], "record_count": r["n"], "file_size_bytes": size_of.get(r[FILE], 0), "schema_id": meta["schema_id"], "partition_value": r["pv"],
-                "batch_id": batch_id, "index_status": status, "centroid": r["centroid"], "radius": r["radius"], "keeps_ids": KEPT_ID in df.columns,
-            })
-        return entries
+        # counts come from the footers, geometry from the vectors, both in one small job beside the files
+        v = meta["vectors"][0] if meta["vectors"] and status == "ready" else None
+        known = describe(self.spark, [p for p, _ in sizes], ids.get(v["name"]) if v else None, v["dim"] if v else 0, v["metric"] if v else "cosine")
+        names = [f"p_{ids[p]}" for p in parts]
+        return [
+            {
+                "path": p, "record_count": known[p]["n"], "file_size_bytes": size, "schema_id": meta["schema_id"], "partition_value": "\x1f".join(partition_values(p, names)) if parts else None,
+                "batch_id": batch_id, "index_status": status, "centroid": known[p]["centroid"], "radius": known[p]["radius"], "keeps_ids": KEPT_ID in df.columns, "facts": known[p]["facts"],
+            }
+            for p, size in sizes
+            if known[p]["n"]
+        ]
 
     def _manifest(self, entries: list[dict], sequence: int, first: int) -> str:
         path, rows = f"{self.root}/manifests/{uuid.uuid4().hex}", []
         for e in entries:
-            rows.append((e["path"], e["record_count"], e["file_size_bytes"], e.get("sequence_number") or sequence, e["schema_id"], e["partition_value"], e.get("first_row_id") if e.get("first_row_id") is not None else first, e["batch_id"], e["index_status"], e["centroid"], e["radius"], e["keeps_ids"]))
+            rows.append((e["path"], e["record_count"], e["file_size_bytes"], e.get("sequence_number") or sequence, e["schema_id"], e["partition_value"], e.get("first_row_id") if e.get("first_row_id") is not None else first, e["batch_id"], e["index_status"], e["centroid"], e["radius"], e["keeps_ids"], e.get("facts")))
             if e.get("first_row_id") is None:
                 first += e["record_count"]
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(path)
@@ -245,7 +244,12 @@ class Table:
 
         def build(meta: dict, parent: dict | None, sequence: int, first: int) -> dict:
             new = [self._manifest(entries, sequence, first)] if entries else []
-            return {"manifests": [*(parent["manifests"] if parent else []), *new], "rows": sum(e["record_count"] for e in entries)}
+            old = parent["manifests"] if parent else []
+            if len(old) >= MAX_MANIFESTS:  # one file in place of many, so that planning opens few
+                whole = f"{self.root}/manifests/{uuid.uuid4().hex}"
+                self.files(parent["id"], meta).coalesce(1).write.parquet(whole)
+                old = [whole]
+            return {"manifests": [*old, *new], "rows": sum(e["record_count"] for e in entries)}
 
         return self._commit("append", build, batch_id)
 
@@ -300,22 +304,27 @@ class Table:
         if snap["positions"]:
             gone = self.spark.read.parquet(*snap["positions"]).distinct()
             out = out.join(gone, [FILE, POSITION], "left_anti")
-        # one anti-join for each set of columns: a row is deleted if the latest delete of its values is later than its file
-        by_id = {f["id"]: f["name"] for f in fields}
-        sets: dict[tuple[str, ...], DataFrame] = {}
-        for d in snap["equality"]:
+        out = self._without_values(out, snap["equality"], meta)
+        if not with_identity:
+            return out.select(*names)
+        return out.select(*names, FILE, POSITION, F.coalesce("__kept", F.col("first_row_id") + F.col(POSITION)).alias(ROW_ID))
+
+    def _without_values(self, rows: DataFrame, sets: Sequence[dict], meta: dict, how: str = "left_anti") -> DataFrame:
+        """Rows (with ``__seq``, the number of their file) that no delete by value removes: one join for each set of columns, in which a row is deleted if the
+        latest delete of its values is later than its file."""
+        by_id = {f["id"]: f["name"] for f in self._fields(meta)}
+        by_columns: dict[tuple[str, ...], DataFrame] = {}
+        for d in sets:
             values = self.spark.read.parquet(d["path"]).withColumn("__dseq", F.lit(d["sequence"]).cast("long"))
             columns = tuple(sorted(c for c in values.columns if c != "__dseq"))
-            sets[columns] = sets[columns].unionByName(values) if columns in sets else values
-        for columns, values in sets.items():
+            by_columns[columns] = by_columns[columns].unionByName(values) if columns in by_columns else values
+        for columns, values in by_columns.items():
             latest = values.groupBy(*[F.col(c).alias(f"__d_{c}") for c in columns]).agg(F.max("__dseq").alias("__dseq"))
             cond = F.col("__seq") < F.col("__dseq")
             for c in columns:
                 cond = cond & (F.col(by_id[int(c[1:])]) == F.col(f"__d_{c}"))
-            out = out.join(latest, cond, "left_anti")
-        if not with_identity:
-            return out.select(*names)
-        return out.select(*names, FILE, POSITION, F.coalesce("__kept", F.col("first_row_id") + F.col(POSITION)).alias(ROW_ID))
+            rows = rows.join(latest, cond, how)
+        return rows
 
     # -- deletes ----------------------------------------------------------------------------------------------------
 
@@ -455,7 +464,8 @@ class Table:
         Columns of the table and _change_type, _snapshot_id, _sequence_number, _commit_timestamp of the end.  Without ``end`` up to the current
         snapshot, without ``start`` from the parent of the end (an error if it has none).  A row inserted and deleted in
         between, and a row that was only rewritten, does not show.  With ``key`` columns, a delete and an insert of one key are an
-        update_before and an update_after.  Only files that differ, or that new deletes can touch, are read.
+        update_before and an update_after.  The manifests are compared first: read are the files that only one of them has, and of the others those
+        that a new delete can touch.
         """
         meta = self.meta
         last = self._snapshot(end, meta)
@@ -465,29 +475,51 @@ class Table:
             raise ValueError("the first snapshot has no parent; name a start")
         first = self._snapshot(last["parent"] if start is None else start, meta)
         a, b = self.files(first["id"], meta), self.files(last["id"], meta)
-        fresh = last["equality"] != first["equality"] or last["positions"] != first["positions"]
-        if not fresh:
-            only = lambda x, y: x.join(y.select("path"), "path", "left_anti")
-            a, b = only(a, b), only(b, a)
         names = [f["name"] for f in self._fields(meta)]
-        old = self.scan(first["id"], with_identity=True, files=a, meta=meta)
-        new = self.scan(last["id"], with_identity=True, files=b, meta=meta)
         changed = [*names, ROW_ID]
-        both = None
+        only = lambda x, y: x.join(y.select("path"), "path", "left_anti")
+        old = self.scan(first["id"], with_identity=True, files=only(a, b), meta=meta)
+        new = self.scan(last["id"], with_identity=True, files=only(b, a), meta=meta)
+        on = [ROW_ID]
         if operation_changes(meta, first, last):
             # rewritten rows keep their id: compare their contents, too
-            digest = F.xxhash64(*[F.to_json(F.struct(F.col(n))) for n in names])
+            maps = {f.name for f in old.schema.fields if "map<" in f.dataType.simpleString()}
+            values = [F.to_json(F.struct(n)) if n in maps else F.col(n) for n in names]
+            digest = F.xxhash64(*values, *[F.col(n).isNull() for n in names])
             old, new = old.withColumn("__h", digest), new.withColumn("__h", digest)
-            both = "__h"
-        on = [ROW_ID] + ([both] if both else [])
+            on.append("__h")
         gone = old.join(new.select(*on), on, "left_anti").select(*changed, F.lit("delete").alias("_change_type"))
         came = new.join(old.select(*on), on, "left_anti").select(*changed, F.lit("insert").alias("_change_type"))
+        for hit in self._deleted_between(first, last, a.join(b.select("path"), "path", "left_semi"), meta):
+            gone = gone.unionByName(hit.select(*changed, F.lit("delete").alias("_change_type")))
         out = gone.unionByName(came)
         if key:
             out = coalesce_updates(out, list(key))
         stamp = F.timestamp_millis(F.lit(last["timestamp"]))
         return out.drop(ROW_ID).withColumns({"_snapshot_id": F.lit(last["id"]), "_sequence_number": F.lit(last["sequence"]).cast("long"), "_commit_timestamp": stamp})
 
+    def _deleted_between(self, first: dict, last: dict, common: DataFrame, meta: dict) -> list[DataFrame]:
+        """Rows of files that both snapshots have, live in the first, which delete sets of the second alone remove.  Of the files only those that such
+        a set can touch are read: the ones it names, or, for values, those that are older."""
+        fresh_positions = [p for p in last["positions"] if p not in first["positions"]]
+        known = {d["path"] for d in first["equality"]}
+        fresh_values = [d for d in last["equality"] if d["path"] not in known]
+        out, taken = [], None
+        if fresh_positions:
+            gone = self.spark.read.parquet(*fresh_positions).distinct()
+            named = common.join(gone.select(F.col(FILE).alias("path")).distinct(), "path", "left_semi")
+            taken = self.scan(first["id"], with_identity=True, files=named, meta=meta).join(gone, [FILE, POSITION], "left_semi")
+            out.append(taken)
+        if fresh_values:
+            latest = max(d["sequence"] for d in fresh_values)
+            rows = self.scan(first["id"], with_identity=True, files=common.where(F.col("sequence_number") < latest), meta=meta)
+            rows = rows.join(common.select(F.col("path").alias(FILE), F.col("sequence_number").alias("__seq")), FILE)
+            if taken is not None:
+                rows = rows.join(gone, [FILE, POSITION], "left_anti")
+            left = self._without_values(rows, fresh_values, meta)
+            out.append(rows.join(left.select(FILE, POSITION), [FILE, POSITION], "left_anti") if len(fresh_values) > 1 else self._without_values(rows, fresh_values, meta, "left_semi"))
+        return out
+
     # -- facts ------------------------------------------------------------------------------------------------------
 
     def info(self) -> DataFrame:
@@ -503,16 +535,17 @@ class Table:
         """Rows, files and bytes of each partition value."""
         return self.files().groupBy("partition_value").agg(F.sum("record_count").alias("rows"), F.count(F.lit(1)).alias("files"), F.sum("file_size_bytes").alias("bytes"))
 
-    def column_stats(self) -> DataFrame:
-        """(file, column, values, nulls, least, greatest) of the live rows, bounds as text cut to 16 characters; arrays have no bounds."""
-        live = self.scan(with_identity=True)
-        flat = [f for f in self.schema().fields if isinstance(f.dataType, (T.AtomicType,))]
-        parts = F.array(*[
-            F.struct(F.lit(f.name).alias("column"), F.count(F.col(f.name)).alias("values"), (F.count(F.lit(1)) - F.count(F.col(f.name))).alias("nulls"),
-                     F.substring(F.min(f.name).cast("string"), 1, 16).alias("least"), F.substring(F.max(f.name).cast("string"), 1, 16).alias("greatest"))
-            for f in flat
-        ])
-        return live.groupBy(FILE).agg(parts.alias("s")).select(FILE, F.explode("s").alias("s")).select(FILE, "s.*")
+    def column_stats(self, snapshot_id: int | None = None) -> DataFrame:
+        """(file, column, values, nulls, least, greatest, bytes) of every data file, from the footers that were read when it was written: no data is read.
+
+        Bounds are text, cut to 16 characters; lists have none.  Rows deleted later still count, as in the file.
+        """
+        kinds = "map<string, array<string>>"
+        names = [(f"f{f['id']}", f["name"]) for f in self._fields(self.meta)]
+        rows = self.files(snapshot_id).select(F.col("path").alias(FILE), F.explode(F.from_json("facts", kinds)).alias("id", "f"))
+        rows = rows.join(F.broadcast(self.spark.createDataFrame(names, "id string, column string")), "id")
+        at = lambda i: F.get("f", F.lit(i))
+        return rows.select(FILE, "column", at(0).cast("long").alias("values"), at(1).cast("long").alias("nulls"), at(2).alias("least"), at(3).alias("greatest"), at(4).cast("long").alias("bytes"))
 
 
 def operation_changes(meta: dict, first: dict, last: dict) -> bool:

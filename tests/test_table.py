@@ -145,6 +145,31 @@ def test_changes_lead_from_start_to_end(spark, table, seed):
     assert table.read_changes(snaps[-1], snaps[-1]).count() == 0
 
 
+def test_changes_read_only_what_differs(spark, table):
+    snaps = [table.append(frame(spark, *[(10 * i + j, f"t{i}") for j in range(3)]).coalesce(1)) for i in range(4)]
+    files = {r[FILE]: r["id"] for r in table.scan(with_identity=True).collect()}
+    assert len(files) == 4
+    read = lambda df: {f.split("/")[-1] for f in df.inputFiles() if "/data/" in f}
+    feed = table.read_changes(snaps[2], snaps[3])
+    assert len(read(feed)) == 1 and feed.count() == 3
+    table.delete_rows([f for f, i in files.items() if i // 10 == 1][0], [0])
+    feed = table.read_changes()
+    assert len(read(feed)) == 1 and [r["_change_type"] for r in feed.collect()] == ["delete"]
+    table.delete_where({"text": ["t0"]})
+    table.append(frame(spark, (99, "new")))
+    kinds = sorted((r["_change_type"], r["id"]) for r in table.read_changes(snaps[3]).collect())
+    assert kinds == [("delete", 0), ("delete", 1), ("delete", 2), ("delete", 10), ("insert", 99)]
+
+
+def test_footers_and_many_manifests(spark, table):
+    for i in range(20):
+        table.append(frame(spark, (i, None if i % 2 else f"t{i:02d}")))
+    assert len(table._snapshot()["manifests"]) <= 17 and table.scan().count() == 20
+    stats = table.column_stats().groupBy("column").agg(F.sum("values"), F.sum("nulls"), F.min("least"), F.max("greatest")).collect()
+    by = {r[0]: tuple(r)[1:] for r in stats}
+    assert by["text"] == (10, 10, "t00", "t18") and by["id"][:2] == (20, 0) and "embedding" not in by
+
+
 def test_change_feed_errors_and_null_keys(spark, table):
     with pytest.raises(ValueError):
         table.read_changes()
