@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from lodevec.operators import bm25, context, fusion, knn, memory
 from lodevec.plans import estimate as _estimate
 from lodevec.plans import prune
+from lodevec.sources import index as _index
+from lodevec.sources.index import SearchSession, build_index, status as index_status
 from lodevec.sources.table import FILE, POSITION, Table, VectorColumn
 
 
@@ -76,23 +78,38 @@ def live(table: Table, snapshot_id: int | None = None, partition: str | None = N
 
 def search(
     table: Table, query: Sequence[float], k: int = 10, column: str | None = None, metric: str | None = None, where: Column | str | None = None, partition: str | None = None,
-    snapshot_id: int | None = None, score: Callable[[Column], Column] | None = None, prune_threshold: float | None = None, with_data: bool = True,
+    snapshot_id: int | None = None, score: Callable[[Column], Column] | None = None, prune_threshold: float | None = None, with_data: bool = True, exact: bool = False, nprobe: int | None = None,
 ) -> SearchQuery:
-    """Nearest rows of a table; pointers only (file, position, distance) unless ``with_data``."""
+    """Nearest rows of a table; pointers only (file, position, distance) unless ``with_data``.
+
+    If the column has an index (see :func:`build_index`), it gives the candidates, unless the search is ``exact``, of an older snapshot, of one
+    partition, by another metric, pruned by geometry, or ranked by a score of its own.
+    """
     spec = next((v for v in table.meta["vectors"] if v["name"] == column), None) if column else _primary(table)
     if spec is None:
         raise ValueError(f"no vector column {column}")
     if len(query) != spec["dim"]:
         raise ValueError(f"model mismatch: the query has {len(query)} components, {spec['name']} has {spec['dim']}")
 
+    plain = not exact and score is None and snapshot_id is None and partition is None and prune_threshold is None and knn.metric_name(metric or spec["metric"]) == knn.metric_name(spec["metric"])
+
     def build(n: int) -> DataFrame:
-        rows = live(table, snapshot_id, partition, query, prune_threshold, spec["name"])
-        hits = knn.search(rows, query, n, metric or spec["metric"], spec["name"], "_row_id", where=where, score=score)
+        hits = _index.search(table, query, n, spec["name"], where, nprobe) if plain else None
+        rows = live(table, snapshot_id, partition, query, prune_threshold, spec["name"]) if hits is None else None
+        hits = hits if hits is not None else knn.search(rows, query, n, metric or spec["metric"], spec["name"], "_row_id", where=where, score=score)
         return hits.drop(FILE, POSITION, "_row_id") if with_data else hits.select(F.col(POSITION).alias("row_id"), F.col("_distance").alias("distance"), F.col(FILE).alias("file_path"))
 
     return SearchQuery(build, k)
 
 
+def append(table: Table, df: DataFrame, batch_id: str | None = None, index: str | None = "auto") -> int | None:
+    """Append rows and bring the primary column's index up to date: ``auto``, ``ivf_pq``, ``graph``, or None for later, by :func:`build_index`."""
+    done = table.append(df, batch_id)
+    if index is not None and table.meta["vectors"]:
+        build_index(table, index)
+    return done
+
+
 def search_text(table: Table, query: str, columns: Sequence[str], k: int = 10, snapshot_id: int | None = None) -> SearchQuery:
     """Best rows by BM25 over the joined text columns, with ``_distance`` = -score."""
     if not columns:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.functions.quant import ProductQuantizer, ivf_sizes, kmeans_fit
@@ -103,16 +103,20 @@ def search(built: DataFrame, index: IvfIndex, query: Sequence[float], k: int = 1
     cells = index.cells(q, nprobe)
     rows = built.where(F.col("cell").isin(cells))
     if index.pq is not None:
-        if index.residual:
-            d = F.lit(None).cast("double")
-            for c in cells:
-                d = F.when(F.col("cell") == c, index.pq.adc_column("codes", q - index.centres[c])).otherwise(d)
-        else:
-            d = index.pq.adc_column("codes", q)
-        rows = rows.withColumn("__adc", d).orderBy("__adc", key).limit(k * rerank).drop("__adc")
+        rows = rows.withColumn("__adc", code_distance(index, q, cells)).orderBy("__adc", key).limit(k * rerank).drop("__adc")
     return rows.withColumn("_distance", distance(index.metric, vector, query)).orderBy("_distance", key).limit(k)
 
 
+def code_distance(index: IvfIndex, q: np.ndarray, cells: Sequence[int], codes: str = "codes") -> Column:
+    """Squared distance of a prepared query to the codes of the given cells, by table look-up in the JVM."""
+    if not index.residual:
+        return index.pq.adc_column(codes, q)
+    d = F.lit(None).cast("double")
+    for c in cells:
+        d = F.when(F.col("cell") == c, index.pq.adc_column(codes, q - index.centres[c])).otherwise(d)
+    return d
+
+
 def choose(rows: int, cores: int, gpu: bool = False) -> str:
     """'ivf_pq' for 5,000 rows or more with over eight cores (or a GPU), else 'exact'."""
     return "ivf_pq" if rows >= 5000 and (gpu or cores > 8) else "exact"

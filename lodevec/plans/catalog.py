@@ -9,10 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodevec import api
 from lodevec.functions import quant, text, vectors
 from lodevec.operators import bm25, context, fusion, graph, ivf, knn, memory
 from lodevec.plans import estimate, prune
 from lodevec.session import shared_folder, spread, table
+from lodevec.sources import index
 from lodevec.sources.table import Table, VectorColumn
 
 WORDS = "commit protocol snapshot vector"
@@ -580,6 +582,62 @@ def search_live_table(spark, d):
     return knn.search(t.scan(), _vector(spark, d, 0), 10, key="vec_id").select("vec_id", _r("_distance").alias("dist"))
 
 
+_NEAREST = f"with e as ({_E}) select vec_id, round(list_cosine_distance(v, {_Q0}), 6) dist from e where {{0}} order by list_cosine_distance(v, {_Q0}), vec_id limit 10"
+
+
+def _indexed(spark: SparkSession, d: str, kind: str, **how) -> Table:
+    """A table with an index, rows deleted after it was built, and a file that it does not cover."""
+    e = _emb(spark, d)
+    t = Table.create(spark, _place(spark, "indexed"), e.schema, vectors=[VectorColumn("embedding", 64)])
+    t.append(e.where("vec_id % 10 <> 7"))
+    index.build_index(t, kind, **how)
+    t.delete_where({"label": [3]})
+    t.append(e.where("vec_id % 10 = 7 and label <> 3"))
+    return t
+
+
+@query(_NEAREST.format("label <> 3"))
+def table_search_ivf(spark, d):
+    """The stored cells and codes of a table answer, newer files are compared in full."""
+    t = _indexed(spark, d, "ivf_pq", nlist=16, pq_m=16)
+    return api.search(t, _vector(spark, d, 0), 10, nprobe=12).to_df().select("vec_id", _r("_distance").alias("dist"))
+
+
+@query(_NEAREST.format("label <> 3"))
+def table_search_graph(spark, d):
+    t = _indexed(spark, d, "graph", shard_rows=2500)
+    return api.search(t, _vector(spark, d, 0), 10).to_df().select("vec_id", _r("_distance").alias("dist"))
+
+
+@query(_NEAREST.format("label not in (1, 3)"))
+def table_search_filtered(spark, d):
+    """A predicate after the index: more candidates are taken until ten rows meet it."""
+    t = _indexed(spark, d, "ivf_pq", nlist=16, pq_m=16)
+    return api.search(t, _vector(spark, d, 0), 10, where="label <> 1", nprobe=16).to_df().select("vec_id", _r("_distance").alias("dist"))
+
+
+@query(_NEAREST.format("true"))
+def search_not_ready(spark, d):
+    """Files without an index are compared in full."""
+    e = _emb(spark, d)
+    t = Table.create(spark, _place(spark, "deferred"), e.schema, vectors=[VectorColumn("embedding", 64)])
+    t.append(e, deferred=True)
+    return api.search(t, _vector(spark, d, 0), 10).to_df().select("vec_id", _r("_distance").alias("dist"))
+
+
+@query(_BATCH + "select query_id, vec_id, rank from r where rank <= 5 and query_id <> vec_id")
+def search_session(spark, d):
+    """Many queries against a table that is loaded once."""
+    e = _emb(spark, d)
+    t = Table.create(spark, _place(spark, "session"), e.schema, vectors=[VectorColumn("embedding", 64)])
+    t.append(e)
+    session = api.SearchSession(t)
+    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = session.search_batch(q, 6).join(session.rows.select("_row_id", "vec_id"), "_row_id").where("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")
+    return hits.withColumn("rank", rank).where("rank <= 5").select("query_id", "vec_id", "rank")
+
+
 @query(f"with e as ({_E}) select vec_id, round(v[1] * 2, 6) doubled from e")
 def migrate_vectors(spark, d):
     e = _emb(spark, d)

@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,11 @@ MANIFEST = (
 )
 
 
+MANIFEST_TYPES = {
+    c.split()[0]: {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}[c.split()[1]] for c in MANIFEST.split(", ")
+}
+
+
 @dataclass
 class VectorColumn:
     """What is known of a vector column: its dimension, metric, precision, modality and model."""
@@ -207,7 +213,9 @@ class Table:
             rows.append((e["path"], e["record_count"], e["file_size_bytes"], e.get("sequence_number") or sequence, e["schema_id"], e["partition_value"], e.get("first_row_id") if e.get("first_row_id") is not None else first, e["batch_id"], e["index_status"], e["centroid"], e["radius"], e["keeps_ids"], e.get("facts")))
             if e.get("first_row_id") is None:
                 first += e["record_count"]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(path)
+        columns = list(zip(*rows)) or [()] * len(MANIFEST_TYPES)
+        entries = pa.table({n: pa.array(c, t) for (n, t), c in zip(MANIFEST_TYPES.items(), columns)})
+        self.spark.createDataFrame(entries, MANIFEST).coalesce(1).write.parquet(path)
         return path
 
     def _commit(self, operation: str, build: Callable[[dict, dict | None, int, int], dict], batch_id: str | None = None) -> int | None:
