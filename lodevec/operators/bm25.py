@@ -21,7 +21,7 @@ def query_tokens(query: str) -> list[str]:
 
 def term_counts(df: DataFrame, text: str = "text", key: str = "doc_id", tokenizer=tokens) -> DataFrame:
     """(key, term, tf, doc_len); documents without tokens have no rows.  One shuffle, combined before it."""
-    words = df.select(key, tokenizer(text).alias("__t")).where(F.size("__t") > 0)
+    words = df.select(key, F.explode(F.array(tokenizer(text))).alias("__t")).where(F.size("__t") > 0)
     return words.select(key, F.size("__t").cast("long").alias("doc_len"), F.explode("__t").alias("term")).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")
     )
@@ -29,7 +29,7 @@ def term_counts(df: DataFrame, text: str = "text", key: str = "doc_id", tokenize
 
 def corpus_stats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_count, total_tokens, avg_doc_len) in one row, over documents with a token; the average is 1 without any."""
-    n = df.select(F.size(tokens(text)).alias("n")).where("n > 0")
+    n = token_rows(df, text, key).select(F.size("t").alias("n"))
     return n.agg(F.count(F.lit(1)).alias("doc_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_tokens"), F.coalesce(F.avg("n"), F.lit(1.0)).alias("avg_doc_len"))
 
 
@@ -39,36 +39,51 @@ def idf_value(n: Column, df: Column) -> Column:
 
 def idf_table(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: int | None = VOCABULARY) -> DataFrame:
     """(term, df, idf), each document counted once for a term; cut to the terms of highest df, ties by the term."""
-    words = df.select(key, F.array_distinct(tokens(text)).alias("t")).where(F.size("t") > 0)
-    counts = words.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counts = token_rows(df, text, key).select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if vocabulary is not None:
         counts = counts.orderBy(F.desc("df"), "term").limit(vocabulary)
     return counts.crossJoin(F.broadcast(corpus_stats(df, text, key).select("doc_count"))).select("term", "df", idf_value(F.col("doc_count"), F.col("df")).alias("idf"))
 
 
-def scores(df: DataFrame, query: str, text: str = "text", key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+def token_rows(df: DataFrame, text: str = "text", key: str = "doc_id", *more: str) -> DataFrame:
+    """(key, more, t): rows with at least one token.  The array comes out of a generator, so Spark makes it once a row, whatever filters and sums follow."""
+    return df.select(key, *more, F.explode(F.array(tokens(text))).alias("t")).where(F.size("t") > 0)
+
+
+def scores(
+    df: DataFrame, query: str, text: str = "text", key: str = "doc_id", k1: float = K1, b: float = B, within: DataFrame | None = None
+) -> DataFrame:
     """(key, score) of every document with a positive score; repeated query terms count again.
 
     The counts of the query's terms are taken from the tokens of each row where it lies; only two small
-    aggregates (corpus numbers, and df of the query's terms) are computed before.
+    aggregates (corpus numbers, and df of the query's terms) are computed before.  With ``within`` (a few rows of keys) the scores of these alone are given,
+    by the numbers of the whole corpus.
     """
     wanted = Counter(query_tokens(query))
     if not wanted:
         return df.select(key, F.lit(0.0).alias("score")).where("false")
     terms = list(wanted)
-    rows = df.select(key, tokens(text).alias("t")).where(F.size("t") > 0)
-    tf = [_count_of("t", x) for x in terms]
-    rows = rows.select(key, F.size("t").cast("double").alias("n"), *[c.alias(f"tf_{i}") for i, c in enumerate(tf)])
+    tf = [_count_of("t", x).alias(f"tf_{i}") for i, x in enumerate(terms)]
+    rows = token_rows(df, text, key).select(key, F.size("t").cast("double").alias("n"), *tf)
     facts = rows.agg(
         F.count(F.lit(1)).alias("__docs"), F.avg("n").alias("__avg"), *[F.sum((F.col(f"tf_{i}") > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))]
     )
-    rows = rows.crossJoin(F.broadcast(facts))  # one row of facts
+    if within is not None:
+        few = df.join(F.broadcast(within.select(key)), key, "left_semi")
+        rows = token_rows(few, text, key).select(key, F.size("t").cast("double").alias("n"), *tf)
+    found = F.lit(0)
+    for i in range(len(terms)):
+        found = found + F.col(f"tf_{i}")
+    rows = rows.where(found > 0).crossJoin(F.broadcast(facts))  # one row of facts
     score = F.lit(0.0)
     for i, term in enumerate(terms):
-        f = F.col(f"tf_{i}").cast("double")
-        part = idf_value(F.col("__docs"), F.col(f"df_{i}")) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("n") / F.col("__avg")))
-        score = score + F.lit(float(wanted[term])) * part
-    return rows.select(key, score.alias("score")).where("score > 0")
+        score = score + F.lit(float(wanted[term])) * term_score(F.col(f"tf_{i}").cast("double"), F.col("n"), F.col(f"df_{i}"), F.col("__docs"), F.col("__avg"), k1, b)
+    return rows.select(key, score.alias("score"))
+
+
+def term_score(tf: Column, n: Column, df: Column, docs: Column, avg: Column, k1: float = K1, b: float = B) -> Column:
+    """What one term adds to a document's score."""
+    return idf_value(docs, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / avg))
 
 
 def _count_of(array: str, term: str) -> Column:

@@ -53,12 +53,13 @@ def search_multimodal(
 
 def _pool(df: DataFrame, query: Sequence[float], text_query: str, pool: int, vector: str, text: str, key: str, metric: str, union: bool) -> DataFrame:
     near = df.where(F.col(vector).isNotNull()).withColumn("d", distance(metric, vector, query)).orderBy(F.round("d", 12), key).limit(pool).select(key, "d")
-    lexical = bm25.scores(df, text_query, text, key)
     if not union:
-        return near.join(lexical, key, "left").select(key, "d", F.coalesce("score", F.lit(0.0)).alias("b"))
+        lexical = bm25.scores(df, text_query, text, key, within=near)
+        return near.join(F.broadcast(lexical), key, "left").select(key, "d", F.coalesce("score", F.lit(0.0)).alias("b"))
+    lexical = bm25.scores(df, text_query, text, key)
     best = lexical.orderBy(F.round("score", 9).desc(), key).limit(pool).select(key)
     both = near.select(key).union(best).distinct()
-    all_d = df.join(both, key, "left_semi").select(key, distance(metric, vector, query).alias("d"))
+    all_d = df.join(F.broadcast(both), key, "left_semi").select(key, distance(metric, vector, query).alias("d"))
     return all_d.join(lexical, key, "left").select(key, "d", F.coalesce("score", F.lit(0.0)).alias("b"))
 
 
