@@ -18,6 +18,7 @@ from lodevec.operators import bm25, context, fusion, knn, memory
 from lodevec.plans import estimate as _estimate
 from lodevec.plans import prune
 from lodevec.sources import index as _index
+from lodevec.sources import textindex
 from lodevec.sources.index import SearchSession, build_index, status as index_status
 from lodevec.sources.table import FILE, POSITION, Table, VectorColumn
 
@@ -111,11 +112,16 @@ def append(table: Table, df: DataFrame, batch_id: str | None = None, index: str
 
 
 def search_text(table: Table, query: str, columns: Sequence[str], k: int = 10, snapshot_id: int | None = None) -> SearchQuery:
-    """Best rows by BM25 over the joined text columns, with ``_distance`` = -score."""
+    """Best rows by BM25 over the joined text columns, with ``_distance`` = -score; from the stored text index, if it has these columns and covers all files."""
     if not columns:
         raise ValueError("at least one text column is needed")
 
     def build(n: int) -> DataFrame:
+        stored = textindex.state(table)
+        if snapshot_id is None and stored and stored["columns"] == list(columns):
+            hits = textindex.search(table, query, n)
+            if hits is not None:
+                return hits.drop(FILE, POSITION, "_row_id")
         rows = table.scan(snapshot_id, with_identity=True).withColumn("__text", F.concat_ws(" ", *columns))
         hits = bm25.search_text(rows, query, n, "__text", "_row_id").withColumnRenamed("score", "__s")
         out = rows.join(F.broadcast(hits), "_row_id").withColumn("_distance", -F.col("__s"))
@@ -139,12 +145,12 @@ def search_multimodal(table: Table, queries: Sequence[tuple[str, Sequence[float]
     return SearchQuery(build, k)
 
 
-def hybrid_search(table: Table, query: Sequence[float], text_query: str, text: str, k: int = 10, weight: float = 0.5, linear: bool = False, union: bool = False) -> SearchQuery:
-    """Vector candidates ordered again with BM25."""
+def hybrid_search(table: Table, query: Sequence[float], text_query: str, text: str, k: int = 10, weight: float = 0.5, linear: bool = False, union: bool = False, prune_files: bool = False) -> SearchQuery:
+    """Vector candidates ordered again with BM25; with ``prune_files`` only of files that may hold a word of the text query, by their stored Bloom filters."""
     spec = _primary(table)
 
     def build(n: int) -> DataFrame:
-        rows = table.scan(with_identity=True)
+        rows = table.scan(files=textindex.may_hold(table, text_query) if prune_files else None, with_identity=True)
         fuse = fusion.hybrid_linear if linear else fusion.hybrid_rrf
         hits = fuse(rows, query, text_query, n, weight, vector=spec["name"], text=text, key="_row_id", metric=spec["metric"], union=union)
         order = F.col("score") if linear else -F.col("score")

@@ -14,7 +14,7 @@ from lodevec.functions import quant, text, vectors
 from lodevec.operators import bm25, context, fusion, graph, ivf, knn, memory
 from lodevec.plans import estimate, prune
 from lodevec.session import shared_folder, spread, table
-from lodevec.sources import index
+from lodevec.sources import index, textindex
 from lodevec.sources.table import Table, VectorColumn
 
 WORDS = "commit protocol snapshot vector"
@@ -582,6 +582,32 @@ def search_live_table(spark, d):
     return knn.search(t.scan(), _vector(spark, d, 0), 10, key="vec_id").select("vec_id", _r("_distance").alias("dist"))
 
 
+@query(f"{_BM25} select doc_id, round(score, 6) score from b order by round(b.score, 9) desc, doc_id limit 20")
+def table_text_search(spark, d):
+    """The stored postings and statistics of a table answer."""
+    t = Table.create(spark, _place(spark, "texts"), "doc_id long, text string", properties={"text.columns": "text"})
+    t.append(table(spark, d, "documents").select("doc_id", "text").orderBy("doc_id").coalesce(1))
+    textindex.build_text_index(t)
+    return api.search_text(t, WORDS, ["text"], 20).to_df().select("doc_id", _r(-F.col("_distance")).alias("score"))
+
+
+@query(
+    """
+with t as (select doc_id % 40 p, unnest(list_transform(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), lambda t: lower(t))) w from documents where text is not null),
+f as (select p from t group by p having max((w = 'quorum')::int) = 1)
+select count(*) files_that_hold_it, count(*) of_these_kept from f"""
+)
+def table_bloom_prune(spark, d):
+    """Files of a table that may hold a word, by stored filters: none that holds it is left out."""
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).cast("string").alias("p"))
+    t = Table.create(spark, _place(spark, "texts"), docs.schema, partition_by=["p"], properties={"text.columns": "text"})
+    t.append(docs.coalesce(1))
+    textindex.build_text_index(t)
+    kept = textindex.may_hold(t, "quorum").select("path", F.lit(1).alias("kept"))
+    has = textindex.postings(t, ["quorum"]).select(F.col("file").alias("path")).distinct()
+    return has.join(kept, "path", "left").agg(F.count(F.lit(1)).alias("files_that_hold_it"), F.count("kept").alias("of_these_kept"))
+
+
 _NEAREST = f"with e as ({_E}) select vec_id, round(list_cosine_distance(v, {_Q0}), 6) dist from e where {{0}} order by list_cosine_distance(v, {_Q0}), vec_id limit 10"
 
 

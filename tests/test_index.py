@@ -83,3 +83,30 @@ def test_session(spark, table):
         q = df.where("id in (2, 8)").select(F.col("id").alias("query_id"), "embedding")
         hits = session.search_batch(q, 1).join(session.rows, "_row_id").collect()
         assert {(r["query_id"], r["id"]) for r in hits} == {(2, 2), (8, 8)}
+
+
+def test_text_index_through_a_tables_life(spark, tmp_path):
+    from lodevec.sources import textindex
+
+    t = Table.create(spark, str(tmp_path / "x"), "id long, title string, text string", properties={"text.columns": "title,text"})
+    docs = [(1, "rust", "fast and safe"), (2, None, "python is slow and safe"), (3, "go", None), (4, "rust book", "rust rust python"), (5, "", "")]
+    t.append(spark.createDataFrame(docs, "id long, title string, text string"))
+    find = lambda q, k=10: [(r["id"], round(r["_distance"], 6)) for r in api.search_text(t, q, ["title", "text"], k).to_list()]
+    full = {q: find(q) for q in ("rust", "python safe", "go go", "nothing", "")}
+    assert textindex.search(t, "rust") is None
+    textindex.build_text_index(t)
+    assert {q: find(q) for q in full} == full and [i for i, _ in full["rust"]] == [4, 1]
+    assert textindex.search(t, "rust") is not None
+    t.append(spark.createDataFrame([(6, "rust", "late")], "id long, title string, text string"))
+    assert textindex.search(t, "rust") is None and {i for i, _ in find("rust")} == {1, 4, 6}
+    textindex.build_text_index(t)
+    assert textindex.search(t, "rust") is not None and {i for i, _ in find("rust")} == {1, 4, 6}
+    t.delete_where({"id": [4]})
+    assert {i for i, _ in find("rust", 2)} == {1, 6}
+    assert {r["path"] for r in textindex.may_hold(t, "late").collect()} <= {r["path"] for r in t.files().collect()}
+    stems = textindex.build_text_index(t, ["text"], "english")
+    assert stems["tokenizer"] == "english" and len(stems["parts"]) == 1
+    assert [r["id"] for r in api.search_text(t, "slowing", ["text"], 5).to_list()] == [2]
+    for bad in (dict(columns=["text"], tokenizer="none"), dict(columns=[])):
+        with pytest.raises(ValueError):
+            textindex.build_text_index(Table.create(spark, str(tmp_path / f"y{len(bad)}"), "id long, text string"), **bad)
