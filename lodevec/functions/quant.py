@@ -13,28 +13,48 @@ from pyspark.sql import types as T
 from lodevec.functions.vectors import as_column, let
 
 
+def _by_length(values: pd.Series, convert) -> pd.Series:
+    """``convert`` over the stacked values of each length at once; nulls stay null."""
+    out = np.full(len(values), None, object)
+    lengths = np.array([-1 if v is None else len(v) for v in values])
+    for n in np.unique(lengths[lengths >= 0]):
+        rows = np.flatnonzero(lengths == n)
+        got = convert([values.iloc[i] for i in rows], int(n))
+        for i, g in zip(rows, got):
+            out[i] = g
+    return pd.Series(out, index=values.index)
+
+
+def _pack(kind):
+    return lambda vectors, n: [r.tobytes() for r in np.stack([np.asarray(v, np.float32) for v in vectors]).astype(kind)]
+
+
+def _unpack(kind):
+    return lambda data, n: np.frombuffer(b"".join(data), kind).astype(np.float32).reshape(len(data), -1)
+
+
 @F.pandas_udf(T.BinaryType())
 def to_half(v: pd.Series) -> pd.Series:
     """array<float> to half-precision bytes."""
-    return v.map(lambda x: None if x is None else np.asarray(x, np.float32).astype(np.float16).tobytes())
+    return _by_length(v, _pack(np.float16))
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_half(b: pd.Series) -> pd.Series:
     """Half-precision bytes to array<float>."""
-    return b.map(lambda x: None if x is None else np.frombuffer(x, np.float16).astype(np.float32))
+    return _by_length(b, _unpack(np.float16))
 
 
 @F.pandas_udf(T.BinaryType())
 def to_single(v: pd.Series) -> pd.Series:
     """array<float> to single-precision bytes."""
-    return v.map(lambda x: None if x is None else np.asarray(x, np.float32).tobytes())
+    return _by_length(v, _pack(np.float32))
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_single(b: pd.Series) -> pd.Series:
     """Single-precision bytes to array<float>."""
-    return b.map(lambda x: None if x is None else np.frombuffer(x, np.float32))
+    return _by_length(b, _unpack(np.float32))
 
 
 def quantize_i8(v) -> Column:

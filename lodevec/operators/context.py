@@ -27,19 +27,20 @@ def drop_near_copies(chunks: DataFrame, query: str = "query_id", threshold: floa
         if len(pdf) > MAX_CHUNKS:
             raise ValueError("too many chunks for one context")
         pdf = pdf.sort_values(["distance", "document_id", "chunk_index"], kind="stable", na_position="last")
-        kept, chosen = [], []
-        for i, v in enumerate(pdf["embedding"]):
-            if v is not None and len(v):
-                x = np.asarray(v, np.float64)
-                n = np.linalg.norm(x)
-                near = False
-                for y, m in kept:
-                    if len(y) == len(x) and (1.0 if n * m == 0 else 1 - x @ y / (n * m)) < threshold:
-                        near = True
-                        break
-                if near:
+        # vectors of different lengths are never near; zero ones and damaged ones neither
+        by_length: dict[int, list[int]] = {}
+        unit: list[np.ndarray | None] = []
+        for v in pdf["embedding"]:
+            x = np.asarray(v, np.float64) if v is not None else np.zeros(0)
+            n = np.linalg.norm(x) if len(x) and np.isfinite(x).all() else 0.0
+            unit.append(x / n if n > 0 else None)
+        chosen = []
+        for i, x in enumerate(unit):
+            if x is not None:
+                kept = by_length.setdefault(len(x), [])
+                if kept and 1 - (np.stack([unit[j] for j in kept]) @ x).max() < threshold:
                     continue
-                kept.append((x, n))
+                kept.append(i)
             chosen.append(i)
         return pdf.iloc[chosen]
 

@@ -18,6 +18,7 @@ from lodevec.functions.vectors import distance, metric_name
 
 MAX_K = 100_000
 QUERY_BLOCK = 8192
+QUERY_TILE, ROW_TILE = 512, 4096
 MAX_QUERIES = 1_000_000
 
 
@@ -98,6 +99,18 @@ def _all_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(n == 0, 1.0, 1 - s / np.where(n == 0, 1, n))
 
 
+def _keep(d: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of each line, and what is tied with the k-th, so that the key can decide."""
+    if d.shape[1] <= k:
+        return d, keys
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    width = int((d <= kth + 1e-12).sum(1).max())
+    if width >= d.shape[1]:
+        return d, keys
+    j = np.argpartition(d, width - 1, axis=1)[:, :width]
+    return np.take_along_axis(d, j, 1), np.take_along_axis(keys, j, 1)
+
+
 def search_batch(
     df: DataFrame,
     queries: DataFrame,
@@ -128,27 +141,23 @@ def search_batch(
         q = np.stack(block["v"].to_numpy()) if len(block) else np.zeros((0, 1))
 
         def near(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            best_d = np.full((len(ids), 0), np.inf)
-            best_k = np.zeros((len(ids), 0), np.int64)
+            # tiles of queries and rows bound what is held beside the best k of each query
+            tiles = [slice(t, t + QUERY_TILE) for t in range(0, len(ids), QUERY_TILE)]
+            best = [(np.full((len(ids[t]), 0), np.inf), np.zeros((len(ids[t]), 0), np.int64)) for t in tiles]
             for b in batches:
                 at, x = _matrix(b.column(1), q.shape[1])
-                if not len(at) or not len(ids):
-                    continue
-                keys = b.column(0).to_numpy()[at]
-                d = _all_distances(metric, q, x)
-                if exclude_same_key:
-                    d = np.where(ids[:, None] == keys[None, :], np.inf, d)
-                both_d, both_k = np.concatenate([best_d, d], 1), np.concatenate([best_k, np.broadcast_to(keys, d.shape)], 1)
-                if both_d.shape[1] > k:
-                    # keep every row tied with the k-th, so that the key can decide
-                    kth = np.partition(both_d, k - 1, axis=1)[:, k - 1 : k]
-                    width = int((both_d <= kth + 1e-12).sum(1).max())
-                    j = np.argpartition(both_d, width - 1, axis=1)[:, :width] if width < both_d.shape[1] else np.tile(np.arange(both_d.shape[1]), (len(ids), 1))
-                    both_d, both_k = np.take_along_axis(both_d, j, 1), np.take_along_axis(both_k, j, 1)
-                best_d, best_k = both_d, both_k
-            ok = np.isfinite(best_d)
-            i = np.broadcast_to(ids[:, None], best_d.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(best_k[ok]), pa.array(best_d[ok])], ["q", "key", "d"])
+                all_keys = b.column(0).to_numpy()[at]
+                for r in range(0, len(at), ROW_TILE):
+                    keys = all_keys[r : r + ROW_TILE]
+                    for n, t in enumerate(tiles):
+                        d = _all_distances(metric, q[t], x[r : r + ROW_TILE])
+                        if exclude_same_key:
+                            d = np.where(ids[t][:, None] == keys[None, :], np.inf, d)
+                        best[n] = _keep(np.concatenate([best[n][0], d], 1), np.concatenate([best[n][1], np.broadcast_to(keys, d.shape)], 1), k)
+            for t, (best_d, best_k) in zip(tiles, best):
+                ok = np.isfinite(best_d)
+                i = np.broadcast_to(ids[t][:, None], best_d.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(best_k[ok]), pa.array(best_d[ok])], ["q", "key", "d"])
 
         part = data.mapInArrow(near, "q long, key long, d double")
         found = part if found is None else found.unionByName(part)

@@ -378,7 +378,7 @@ class Table:
 
     # -- rewriting --------------------------------------------------------------------------------------------------
 
-    def rewrite(self, change: Callable[[DataFrame], DataFrame] | None = None, paths: Sequence[str] | None = None, partitions: int | None = None, operation: str = "replace") -> int | None:
+    def rewrite(self, change: Callable[[DataFrame], DataFrame] | None = None, paths: Sequence[str] | None = None, partitions: int | None = None, operation: str = "replace", status: str = "ready") -> int | None:
         """Write the live rows of some files (all by default) anew and put them in place of the old, keeping row ids.
 
         Deletes are applied on the way, and delete sets that can touch no remaining file are dropped.  If another writer deleted rows of these files or replaced them meanwhile, the call fails and
@@ -395,7 +395,7 @@ class Table:
         live = change(live) if change else live
         if partitions:
             live = live.coalesce(partitions)
-        entries = self._write_files(live, meta, None, "ready", validate=False)
+        entries = self._write_files(live, meta, None, status, validate=False)
         batches = sorted({b for r in listed.where(F.col("path").isin(list(old))).select("batch_id").collect() for b in [r["batch_id"]] if b})
         for e in entries:
             e["batch_id"] = ",".join(batches) or None
@@ -418,22 +418,33 @@ class Table:
 
         return self._commit(operation, build)
 
-    def plan_compaction(self, target_bytes: int = 128 << 20, min_files: int = 4, max_files: int = 20) -> DataFrame:
-        """Files to merge next: those without geometry first, then small ones, smallest first; none if too few are small."""
+    def plan_compaction(self, target_bytes: int = 128 << 20, min_files: int = 4, max_files: int | None = 20, dominant: float | None = None) -> DataFrame:
+        """Files to merge next: those without geometry first, then small ones, smallest first; none if too few are small.
+
+        ``max_files`` None takes all.  With ``dominant`` a file that holds that share of the plan's rows or more stays where it is, so that one large file is not written again for a few small ones.
+        """
         f = self.files()
         first = self.meta["vectors"]
         f = f.withColumn("foreign", F.col("centroid").isNull() if first else F.lit(False))
         small = (~F.col("foreign")) & (F.col("file_size_bytes") < target_bytes)
         enough = f.where(small).limit(min_files).count() >= min_files
-        return f.where(F.col("foreign") | (small if enough else F.lit(False))).orderBy(F.desc("foreign"), "file_size_bytes", "path").limit(max_files)
+        plan = f.where(F.col("foreign") | (small if enough else F.lit(False))).orderBy(F.desc("foreign"), "file_size_bytes", "path")
+        plan = plan if max_files is None else plan.limit(max_files)
+        if dominant is not None:
+            whole = plan.agg(F.sum("record_count")).first()[0] or 0
+            plan = plan.where(F.col("foreign") | (F.col("record_count") < dominant * whole))
+        return plan
 
-    def compact(self, target_bytes: int = 128 << 20, min_files: int = 4, max_files: int = 20) -> int | None:
-        """One pass: merge the planned files into as few as the target size allows.  Live rows and their ids stay the same."""
-        plan = self.plan_compaction(target_bytes, min_files, max_files).select("path", "file_size_bytes").collect()
+    def compact(self, target_bytes: int = 128 << 20, min_files: int = 4, max_files: int | None = 20, dominant: float | None = None, deferred: bool = False) -> int | None:
+        """One pass: merge the planned files into as few as the target size allows.  Live rows and their ids stay the same.
+
+        ``max_files`` None merges all small files in one job; ``dominant`` (0.4, say) leaves a file alone that holds most of the rows; ``deferred`` leaves geometry to :meth:`index_files`.
+        """
+        plan = self.plan_compaction(target_bytes, min_files, max_files, dominant).select("path", "file_size_bytes").collect()
         if len(plan) < 1:
             return self.meta["current"]
         n = max(1, -(-sum(r["file_size_bytes"] for r in plan) // target_bytes))
-        return self.rewrite(paths=[r["path"] for r in plan], partitions=n)
+        return self.rewrite(paths=[r["path"] for r in plan], partitions=n, status="indexing" if deferred else "ready")
 
     def index_files(self) -> int | None:
         """Compute the geometry of files that were appended deferred (status 'indexing') and mark them ready."""

@@ -98,6 +98,20 @@ def test_rewrites_keep_rows_and_ids(spark, table):
     assert table.scan(s).count() == 9
 
 
+def test_kinds_of_compaction(spark, table):
+    table.append(frame(spark, *[(i, "big") for i in range(50)]).coalesce(1))
+    for i in range(23):
+        table.append(frame(spark, (100 + i, "x")).coalesce(1))
+    before = content(table.scan())
+    big = table.files().where("record_count = 50").first()["path"]
+    table.compact(min_files=2, max_files=None, dominant=0.4)
+    assert table.files().count() == 2 and table.files().where(F.col("path") == big).count() == 1 and content(table.scan()) == before
+    table.compact(min_files=2, max_files=None, deferred=True)
+    assert table.files().count() == 1 and table.info().first()["indexing"] == 1 and content(table.scan()) == before
+    table.index_files()
+    assert table.info().first()["indexing"] == 0 and content(table.scan()) == before
+
+
 def test_schema_evolution(spark, table):
     table.append(frame(spark, (1, "old")))
     table.evolve(rename={"text": "body"}, add={"lang": ("string", "en"), "n": ("int", None)})
