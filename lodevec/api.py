@@ -111,6 +111,22 @@ def append(table: Table, df: DataFrame, batch_id: str | None = None, index: str
     return done
 
 
+def heal(table: Table) -> list[str]:
+    """Mend what makes searches slow: geometry that is still to be computed, files of other writers without it, a failed index.  What was done."""
+    done, facts = [], table.info().first()
+    if facts["indexing"]:
+        table.index_files()
+        done.append("geometry")
+    if table.meta["vectors"] and facts["without_geometry"] > facts["indexing"]:
+        table.compact()
+        done.append("compaction")
+    for column, state in table.meta.get("indexes", {}).items():
+        if state["status"] == "failed":
+            build_index(table, state["kind"], column, rebuild=True)
+            done.append(f"index of {column}")
+    return done
+
+
 def search_text(table: Table, query: str, columns: Sequence[str], k: int = 10, snapshot_id: int | None = None) -> SearchQuery:
     """Best rows by BM25 over the joined text columns, with ``_distance`` = -score; from the stored text index, if it has these columns and covers all files."""
     if not columns:

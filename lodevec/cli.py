@@ -10,6 +10,8 @@ import argparse
 import json
 import subprocess
 import sys
+import threading
+import time
 from collections.abc import Callable, Sequence
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -25,6 +27,7 @@ from lodevec.sources.table import VectorColumn
 
 FORMATS = ("text", "json", "parquet", "arrow")
 SERVER_MAX_K = 10_000
+PROBE_SECONDS = 60.0
 
 
 def write_out(df: DataFrame, how: str, out: str | None = None) -> None:
@@ -155,10 +158,31 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
 
 
 def server(spark: SparkSession, warehouse: str, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
-    """POST /search, /write, /compact and GET /info?table=…, as JSON; k is at most 10,000."""
+    """POST /search, /write, /compact and GET /info?table=…, as JSON; k is at most 10,000.
+
+    At most once a minute a search also looks, beside its answer, for what makes the table slow, and mends it.
+    """
+    seen: dict[str, float] = {}
+    busy = threading.Lock()
+
+    def probe(name: str) -> None:
+        if time.monotonic() - seen.get(name, -1e9) < PROBE_SECONDS or not busy.acquire(blocking=False):
+            return
+        seen[name] = time.monotonic()
+
+        def work() -> None:
+            try:
+                api.heal(api.open_table(spark, warehouse, name))
+            except Exception as e:  # the next probe tries again
+                print(f"{name}: {e}", file=sys.stderr)
+            finally:
+                busy.release()
+
+        threading.Thread(target=work, daemon=True).start()
 
     def search(b: dict) -> object:
         t = api.open_table(spark, warehouse, b["table"])
+        probe(b["table"])
         k = min(int(b.get("top_k", 10)), SERVER_MAX_K)
         q = api.search(t, b["query"], k, where=b.get("where"), partition=b.get("partition")) if "query" in b else api.search_text(t, b["text"], b.get("columns", ["text"]), k)
         return [json.loads(x) for x in q.to_df().toJSON().collect()]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folder: str | None = None
+
 
 def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "8g", name: str = "lodevec") -> SparkSession:
     """A session for tests and the bench."""
@@ -47,14 +50,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="lodevec-ckpt-"))
+        sc.setCheckpointDir(place or _own_folder())
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for tables that several executors write and read."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return place or os.path.join(tempfile.gettempdir(), "lodevec-shared")
+    return (place or _own_folder()).rstrip("/")
+
+
+def _own_folder() -> str:
+    """A folder of this process, deleted at its end: only where the cluster names none."""
+    global _folder
+    if _folder is None:
+        _folder = tempfile.mkdtemp(prefix="lodevec-")
+        atexit.register(shutil.rmtree, _folder, ignore_errors=True)
+    return _folder
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from lodevec.sources.files import place
 from lodevec.sources.table import Table
 
 
@@ -31,8 +33,10 @@ def table_sink(stream: DataFrame, table: Table, name: str, checkpoint: str, trig
             t.append(batch, batch_id=f"{name}/{epoch}")
             return
         n = max(1, -(-batch.count() // max_rows))
-        for i, part in enumerate(batch.randomSplit([1.0] * n, seed=epoch) if n > 1 else [batch]):
-            t.append(part, batch_id=f"{name}/{epoch}/{i}")
+        # by a hash of the row, so that a batch that comes again after a failure is divided the same way
+        part = F.pmod(F.xxhash64(*[F.to_json(F.struct(c)) for c in batch.columns]), F.lit(n))
+        for i in range(n):
+            t.append(batch.where(part == i) if n > 1 else batch, batch_id=f"{name}/{epoch}/{i}")
 
     return stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).foreachBatch(append)
 
@@ -67,6 +71,25 @@ class MicroBatchBuffer:
         return done
 
 
+def deliver(messages: Iterable[dict], tables: dict[str, Table], **limits) -> Iterator[dict]:
+    """Write the records of several streams, each to its table; a state message is passed on only when all rows before it are committed.
+
+    Messages: ``{"type": "RECORD", "stream": name, "data": {column: value}}`` and ``{"type": "STATE", ...}``.  Records of other streams are left out; missing
+    columns are null.  What is left at the end is committed, too.
+    """
+    buffers = {name: MicroBatchBuffer(t, **limits) for name, t in tables.items()}
+    columns = {name: [f.name for f in t.schema().fields] for name, t in tables.items()}
+    for m in messages:
+        if m["type"] == "RECORD" and m["stream"] in buffers:
+            buffers[m["stream"]].insert([tuple(m["data"].get(c) for c in columns[m["stream"]])])
+        elif m["type"] == "STATE":
+            for b in buffers.values():
+                b.flush()
+            yield m
+    for b in buffers.values():
+        b.flush()
+
+
 class _LastRows(StatefulProcessor):
     def __init__(self, n: int, columns: list[str], order: str, schema: str):
         self.n, self.columns, self.order, self.schema = n, columns, order, schema
@@ -105,12 +128,12 @@ class SnapshotLogReader(DataSourceStreamReader):
         self.root = root
 
     def _snapshots(self) -> list[dict]:
-        import os
+        from pyarrow import fs
 
-        folder = os.path.join(self.root, "_log")
-        names = sorted(n for n in os.listdir(folder) if n.startswith("v") and n.endswith(".json"))
-        with open(os.path.join(folder, names[-1])) as f:
-            return json.load(f)["snapshots"]
+        files, folder = place(f"{self.root}/_log")
+        names = sorted(f.path for f in files.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("v") and f.base_name.endswith(".json"))
+        with files.open_input_stream(names[-1]) as f:
+            return json.loads(f.read())["snapshots"]
 
     def initialOffset(self) -> dict:
         return {"sequence": 0}
@@ -155,8 +178,6 @@ def follow_changes(spark: SparkSession, table: Table, handle: Callable[[DataFram
         first, last = rows[0], rows[-1]
         if first["parent_id"] is None:
             start = t.scan(first["snapshot_id"])
-            from pyspark.sql import functions as F
-
             handle(start.withColumn("_change_type", F.lit("insert")), first["sequence_number"])
             if len(rows) == 1:
                 return

@@ -330,3 +330,21 @@ def test_buffer(spark, table):
     with pytest.raises(Exception):
         b.flush()
     assert len(b.rows) == 1
+
+
+def test_states_come_after_their_rows(spark, table, tmp_path):
+    other = Table.create(spark, str(tmp_path / "o"), "id long")
+    record = lambda s, **d: {"type": "RECORD", "stream": s, "data": d}
+    messages = [record("a", id=1, text="x", embedding=[1.0, 1.0]), record("b", id=5), record("none", id=9), {"type": "STATE", "n": 1}, record("b", id=6), {"type": "LOG"}]
+    seen = []
+    for m in stream.deliver(messages, {"a": table, "b": other}):
+        seen.append((m["n"], table.scan().count(), other.scan().count()))
+    assert seen == [(1, 1, 1)] and other.scan().count() == 2
+
+
+def test_heal(spark, table):
+    table.append(frame(spark, (1, "a"), (2, "b")), deferred=True)
+    with pytest.raises(ValueError):
+        api.build_index(table, "ivf_pq", pq_m=7)
+    assert api.heal(table) == ["geometry", "index of embedding"] and api.heal(table) == []
+    assert api.index_status(table).first()["status"] == "ready"
