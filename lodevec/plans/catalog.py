@@ -235,44 +235,52 @@ def i8_quantize(spark, d):
     )
 
 
-@query()
+@query(f"select vec_id, true within_half_a_step from ({_E})")
 def half_precision_round_trip(spark, d):
+    """No component is further from its half-precision value than half a step of that precision."""
     back = _emb(spark, d).select("vec_id", "embedding", quant.from_half(quant.to_half("embedding")).alias("h"))
-    worst = F.array_max(F.zip_with(vectors.as_column("embedding"), vectors.as_column("h"), lambda a, b: F.abs(a - b)))
-    return back.select("vec_id", worst.alias("worst"))
+    near = F.zip_with(vectors.as_column("embedding"), vectors.as_column("h"), lambda a, b: F.abs(a - b) <= F.greatest(F.abs(a) * 2.0**-11, F.lit(2.0**-25)))
+    return back.select("vec_id", F.forall(near, lambda x: x).alias("within_half_a_step"))
 
 
 # -- index ----------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(_knn_sql("cosine"))
 def ivf_pq_search(spark, d):
+    """Fifteen of sixteen cells, four hundred candidates by their codes: what full comparison gives."""
     e = _emb(spark, d)
     index = ivf.train(e, key="vec_id", nlist=16, pq_m=16)
-    hits = ivf.search(ivf.build(e, index), index, _vector(spark, d, 0), 10, nprobe=8, rerank=10, key="vec_id")
-    return hits.select("vec_id", "cell", _r("_distance").alias("dist"))
+    hits = ivf.search(ivf.build(e, index), index, _vector(spark, d, 0), 10, nprobe=15, rerank=40, key="vec_id")
+    return hits.select("vec_id", _r("_distance").alias("dist"))
 
 
-@query()
+@query(_knn_sql("cosine"))
 def ivf_residual_search(spark, d):
     e = _emb(spark, d)
     index = ivf.train(e, key="vec_id", nlist=16, pq_m=16, residual=True)
-    hits = ivf.search(ivf.build(e, index), index, _vector(spark, d, 0), 10, nprobe=8, rerank=10, key="vec_id")
-    return hits.select("vec_id", "cell", _r("_distance").alias("dist"))
+    hits = ivf.search(ivf.build(e, index), index, _vector(spark, d, 0), 10, nprobe=15, rerank=40, key="vec_id")
+    return hits.select("vec_id", _r("_distance").alias("dist"))
 
 
-@query()
+@query(
+    f"""with e as ({_E}), q as (select vec_id query_no, v q from e where vec_id in (0, 1, 2)), d as (select query_no, vec_id, list_cosine_distance(v, q) dist from e, q)
+select query_no, vec_id "key", round(dist, 6) distance, row_number() over (partition by query_no order by dist, vec_id) rank from d
+qualify row_number() over (partition by query_no order by dist, vec_id) <= 10"""
+)
 def graph_search(spark, d):
-    """Navigable graph: the ten nearest rows to three queries."""
-    index = graph.build(_emb(spark, d), "vec_id", shard_rows=5000)
-    return graph.search(index, [_vector(spark, d, i) for i in (0, 1, 2)], 10).withColumn("distance", _r("distance"))
+    """Navigable graph: the ten nearest rows to three queries, searched wide enough to be what full comparison gives."""
+    g = graph.build(_emb(spark, d), "vec_id", shard_rows=2500)
+    return graph.search(g, [_vector(spark, d, i) for i in (0, 1, 2)], 10, width=1000).withColumn("distance", _r("distance"))
 
 
-@query()
+@query("select count(*) n_rows, count(*) in_range from embeddings")
 def ivf_cells(spark, d):
+    """Every row is in one cell."""
     e = _emb(spark, d)
-    index = ivf.train(e, key="vec_id", nlist=16, use_pq=False)
-    return ivf.build(e, index).groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"))
+    i = ivf.train(e, key="vec_id", nlist=16, use_pq=False)
+    cells = ivf.build(e, i).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"))
+    return cells.agg(F.sum("ids").alias("n_rows"), F.sum(F.when(F.col("cell").between(0, 15), F.col("n"))).alias("in_range"))
 
 
 # -- text -----------------------------------------------------------------------------------------------------------
@@ -384,7 +392,17 @@ def xml_escape(spark, d):
     return _docs(spark, d).select("doc_id", text.escape_xml("text").alias("xml"))
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS["en"])
+_STEM = "regexp_replace(w, '(ss|us|is)$', '\\1~')"
+for _a, _b in (("ies$", "y"), ("(x|ch|sh|ss~?)es$", "\\1"), ("([^s])s$", "\\1"), ("([a-z]{3,}?)(?:ing|ed)$", "\\1"), ("~", "")):
+    _STEM = f"regexp_replace({_STEM}, '{_a}', '{_b}')"
+_LAST = " ".join(f"when suffix(s, '{c}{c}') then s[:-2]" for c in "bdfgmnprt")
+
+
+@query(
+    f"""{_DOCS}, w as (select unnest(list_filter(t, lambda x: x not in ({_STOP}))) w from n), s as (select {_STEM} s from w)
+select stem, count(*) n from (select case {_LAST} else s end stem from s) group by all"""
+)
 def stop_words_and_stems(spark, d):
     words = text.light_stems(text.without_stop_words(text.tokens("text")))
     return _docs(spark, d).select(F.explode(words).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
@@ -428,9 +446,16 @@ def hybrid_linear(spark, d):
     return fusion.hybrid_linear(_both(spark, d), _vector(spark, d, 0), WORDS, 10, 0.4).withColumn("score", _r("score"))
 
 
-@query()
+@query(
+    _HYBRID
+    + """, u as (select doc_id from pool union (select doc_id from b order by round(b, 9) desc, doc_id limit 100)),
+pu as (select doc_id, d, coalesce(b, 0) b from u join jd using (doc_id) left join b using (doc_id)),
+r as (select *, row_number() over (order by round(d, 12), doc_id) - 1 vr, row_number() over (order by round(b, 9) desc, doc_id) - 1 br from pu),
+s as (select doc_id, 0.6 / (60 + vr) + 0.4 / (60 + br) score from r)
+select doc_id, round(score, 8) score from s order by round(s.score, 12) desc, doc_id limit 10"""
+)
 def hybrid_union(spark, d):
-    return fusion.hybrid_rrf(_both(spark, d), _vector(spark, d, 0), WORDS, 10, 0.4, union=True)
+    return fusion.hybrid_rrf(_both(spark, d), _vector(spark, d, 0), WORDS, 10, 0.4, union=True).withColumn("score", _r("score", 8))
 
 
 def _arms_sql(w1: float, w2: float) -> str:
@@ -626,7 +651,7 @@ def _indexed(spark: SparkSession, d: str, kind: str, **how) -> Table:
 def table_search_ivf(spark, d):
     """The stored cells and codes of a table answer, newer files are compared in full."""
     t = _indexed(spark, d, "ivf_pq", nlist=16, pq_m=16)
-    return api.search(t, _vector(spark, d, 0), 10, nprobe=12).to_df().select("vec_id", _r("_distance").alias("dist"))
+    return api.search(t, _vector(spark, d, 0), 10, nprobe=15).to_df().select("vec_id", _r("_distance").alias("dist"))
 
 
 @query(_NEAREST.format("label <> 3"))

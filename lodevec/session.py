@@ -32,12 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer files than there are cores, spread over the cores, for work that is long beside its input.
+    """A scan of fewer partitions than there are cores, spread over the cores, for work that is long beside its input.
 
-    Large tables have more files than cores and are left as they are: then nothing is shuffled.
+    Large tables have more partitions than cores and are left as they are: then nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
