@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.functions.quant import ProductQuantizer, ivf_sizes, kmeans_fit
@@ -103,18 +104,21 @@ def search(built: DataFrame, index: IvfIndex, query: Sequence[float], k: int = 1
     cells = index.cells(q, nprobe)
     rows = built.where(F.col("cell").isin(cells))
     if index.pq is not None:
-        rows = rows.withColumn("__adc", code_distance(index, q, cells)).orderBy("__adc", key).limit(k * rerank).drop("__adc")
+        rows = with_code_distance(rows, index, q, cells, "__adc").orderBy("__adc", key).limit(k * rerank).drop("__adc")
     return rows.withColumn("_distance", distance(index.metric, vector, query)).orderBy("_distance", key).limit(k)
 
 
-def code_distance(index: IvfIndex, q: np.ndarray, cells: Sequence[int], codes: str = "codes") -> Column:
-    """Squared distance of a prepared query to the codes of the given cells, by table look-up in the JVM."""
-    if not index.residual:
-        return index.pq.adc_column(codes, q)
-    d = F.lit(None).cast("double")
-    for c in cells:
-        d = F.when(F.col("cell") == c, index.pq.adc_column(codes, q - index.centres[c])).otherwise(d)
-    return d
+def with_code_distance(rows: DataFrame, index: IvfIndex, q: np.ndarray, cells: Sequence[int], into: str) -> DataFrame:
+    """Rows of the given cells with the squared distance of a prepared query to their codes.
+
+    Each cell has a table of distances (entries of the codebooks x sub-vectors), with residual codes one of its own; the tables of the probed cells are a small
+    broadcast side, and distances are looked up in the JVM.
+    """
+    tables = [index.pq.table(q - index.centres[c] if index.residual else q).tolist() for c in cells]
+    kind = pa.list_(pa.list_(pa.float64()))
+    side = rows.sparkSession.createDataFrame(pa.table({"__c": pa.array([int(c) for c in cells], pa.int32()), "__t": pa.array(tables, kind)}))
+    near = F.aggregate(F.zip_with("codes", "__t", lambda code, row: F.get(row, code)), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(F.broadcast(side), F.col("cell") == F.col("__c")).withColumn(into, near).drop("__c", "__t")
 
 
 def choose(rows: int, cores: int, gpu: bool = False) -> str:

@@ -134,7 +134,7 @@ def _candidates(table: Table, state: dict, spec: dict, query: Sequence[float], n
         for p in parts:
             part = spark.read.parquet(f"{p}/cells").where(F.col("cell").isin(cells))
             rows = part if rows is None else rows.unionByName(part)
-        return rows.withColumn("d", ivf.code_distance(index, q, cells)).orderBy("d", "row_id").limit(n).select("row_id", "file").collect()
+        return ivf.with_code_distance(rows, index, q, cells, "d").orderBy("d", "row_id").limit(n).select("row_id", "file").collect()
     graphs = spark.read.parquet(*[f"{p}/graphs" for p in parts])
     found = graph.search(graphs, [query], n, max(width, n), spec["metric"]).select(F.col("key").alias("row_id"))
     return spark.read.parquet(*[f"{p}/ids" for p in parts]).join(F.broadcast(found), "row_id").select("row_id", "file").collect()

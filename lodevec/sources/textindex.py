@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodevec.functions import text as tx
 from lodevec.operators import bm25
 from lodevec.plans import prune
+from lodevec.session import spread
 from lodevec.sources.table import FILE, ROW_ID, Table
 
 BUCKETS = 32
@@ -57,13 +58,13 @@ def build_text_index(table: Table, columns: Sequence[str] | None = None, tokeniz
     if paths:
         place = f"{table.root}/text/{uuid.uuid4().hex}"
         rows = table.scan(files=todo, with_identity=True).select(F.col(ROW_ID).alias("row_id"), F.col(FILE).alias("file"), tx.joined_text(*columns).alias("text"))
-        each = rows.select("row_id", "file", F.explode(F.array(TOKENIZERS[tokenizer]("text"))).alias("t")).where(F.size("t") > 0)
+        each = spread(rows).select("row_id", "file", F.explode(F.array(TOKENIZERS[tokenizer]("text"))).alias("t")).where(F.size("t") > 0)
         words = each.select("row_id", "file", F.size("t").alias("n"), F.posexplode("t").alias("pos", "term"))
         postings = words.groupBy("row_id", "file", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))
         postings = postings.withColumn("bucket", _bucket(F.col("term")))
         postings.repartition("bucket").sortWithinPartitions("bucket", "term", "row_id").write.partitionBy("bucket").parquet(f"{place}/postings")
         stored = table.spark.read.parquet(f"{place}/postings")
-        facts = each.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("tokens")).first()
+        facts = stored.agg(F.count_distinct("row_id").alias("docs"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()
         prune.bloom_filters(stored.select("file", "term"), "file").coalesce(1).write.parquet(f"{place}/blooms")
         table.spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1).write.parquet(f"{place}/files")
         parts.append({"path": place, "docs": facts["docs"], "tokens": facts["tokens"]})
