@@ -146,6 +146,11 @@ SQL: dict[str, str] = {
 select table_key, id, sequence_number, text, len(embedding) n_components,
   round(coalesce(list_sum(list_filter(embedding, lambda x: x is not null and not isnan(x) and abs(x) < 1e30)::double[]), case when embedding is not null then 0 end), 4) + 0.0 vector_sum from now""",
     "p4_found": _SMALL + "select table_key, path from small",
+    "p4_plan": _TARGETS
+    + """
+select table_key, partition_value, path, file_size_bytes, record_count, t::bigint target_no, (before - min(before) over w)::bigint target_offset, count(*) over w target_files,
+  (sum(file_size_bytes) over w)::bigint target_bytes, case when count(record_count) over w = count(*) over w then (sum(record_count) over w)::bigint end target_rows
+from final window w as (partition by table_key, partition_value, t)""",
     "p4_targets": _TARGETS
     + """
 select table_key, count(*) files_before, count(distinct (partition_value is null, partition_value, t)) files_after, sum(record_count)::bigint n_rows, sum(file_size_bytes)::bigint n_bytes
