@@ -265,13 +265,13 @@ def ivf_residual_search(spark, d):
 
 @query(
     f"""with e as ({_E}), q as (select vec_id query_no, v q from e where vec_id in (0, 1, 2)), d as (select query_no, vec_id, list_cosine_distance(v, q) dist from e, q)
-select query_no, vec_id "key", round(dist, 6) distance, row_number() over (partition by query_no order by dist, vec_id) rank from d
+select query_no, vec_id "key", round(dist, 5) distance, row_number() over (partition by query_no order by dist, vec_id) rank from d
 qualify row_number() over (partition by query_no order by dist, vec_id) <= 10"""
 )
 def graph_search(spark, d):
-    """Navigable graph: the ten nearest rows to three queries, searched wide enough to be what full comparison gives."""
+    """Navigable graph: the ten nearest rows to three queries, searched wide enough to be what full comparison gives; vectors are kept in single precision."""
     g = graph.build(_emb(spark, d), "vec_id", shard_rows=2500)
-    return graph.search(g, [_vector(spark, d, i) for i in (0, 1, 2)], 10, width=1000).withColumn("distance", _r("distance"))
+    return graph.search(g, [_vector(spark, d, i) for i in (0, 1, 2)], 10, width=1000).withColumn("distance", _r("distance", 5))
 
 
 @query("select count(*) n_rows, count(*) in_range from embeddings")
