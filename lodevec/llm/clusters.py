@@ -36,6 +36,7 @@ NEAR = 0.68
 NEARER = 0.03
 MIN_POINTS = 6
 LOCAL_ROWS = 16_384
+TILE_ROWS = 1024
 SAME_MEAN = 0.9
 MAX_MEANS = 100_000
 MAX_LABELS = 1_000_000  # 16 MB
@@ -65,17 +66,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
 
 
-def _cells(x: np.ndarray, pivots: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) of all cells of each row, the overlap included."""
-    rows, cells = [], []
-    for a in range(0, len(x), 8192):
-        s = x[a : a + 8192] @ pivots.T
-        i, j = np.nonzero(s >= s.max(1, keepdims=True) - margin)
-        rows.append(i + a)
-        cells.append(j)
-    return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(cells or [np.zeros(0, np.int64)])
-
-
 @dataclass
 class Pivots:
     """Pivots in parts around coarse centres; ``start`` has the number of each part's first pivot."""
@@ -201,115 +191,99 @@ def density_labels(x: np.ndarray, weight: np.ndarray, near: float, min_points: i
     return labels
 
 
-def wide_labels(x: np.ndarray, weight: np.ndarray, near: float, min_points: int) -> np.ndarray:
-    """:func:`density_labels` without a table of pairs: they are compared twice, in blocks, and memory grows with the rows only."""
-    n = len(x)
-    step = max(64, 8_000_000 // max(n, 1))
-    w = weight.astype(np.float32)
-    degree = np.concatenate([(x[a : a + step] @ x.T >= near) @ w for a in range(0, n, step)] or [np.zeros(0)])
-    core = np.flatnonzero(degree >= min_points)
-    y = x[core]
-    root = np.arange(len(core))
-    for a in range(0, len(core), step):
-        i, j = np.nonzero((y[a : a + step] @ y.T >= near) & (root[a : a + step, None] != root))
-        i += a
-        while len(i):
-            u, v = root[i], root[j]
-            np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
-            while (root[root] != root).any():
-                root = root[root]
-            apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
-    labels = np.full(n, -1)
-    labels[core] = np.unique(root, return_inverse=True)[1]
-    return labels
+def _tiles(x: np.ndarray, seed: int = 7) -> list[np.ndarray]:
+    """Row numbers in tiles of up to ``TILE_ROWS`` rows that lie near each other."""
+    count = -(-len(x) * 2 // TILE_ROWS)
+    some = x[np.random.default_rng(seed).choice(len(x), min(len(x), 16 * count), replace=False)]
+    at = nearest(x, kmeans(some, count, 4, seed))
+    order = np.argsort(at, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(at[order])) + 1)
+    return [p[a : a + TILE_ROWS] for p in parts for a in range(0, len(p), TILE_ROWS)]
 
 
-def _root(parent: dict, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def _join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The roots, each the lowest row of its component, after every ``u`` and its ``v`` are joined."""
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        u, v = root[u], root[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    return root
 
 
-def local_clusters(x: np.ndarray, weight: np.ndarray, near: float, min_points: int, margin: float, limit: int = LOCAL_ROWS, seed: int = 7) -> np.ndarray:
-    """:func:`density_labels` for a cell of any size: above ``limit`` rows it is divided in the same manner, by
-    pivots of its own and a margin, and parts that share a core point are joined; one that space does not part is
-    compared pair by pair as a whole, never divided at random, which would thin out its small groups."""
+def wide_labels(x: np.ndarray, weight: np.ndarray, near: float, min_points: int) -> np.ndarray:
+    """:func:`density_labels` of unit rows, number by number, without a table of pairs: memory grows with the rows only.
+
+    Rows are compared tile by tile.  Left out are only pairs that change nothing: those of two tiles whose angles show that none is near, those of rows
+    known to be core points already, and those of core points known to be in one cluster.  How rows are laid out in tiles has no part in the result.
+    """
     n = len(x)
-    if n <= limit:
-        return density_labels(x, weight, near, min_points)
-    rng = np.random.default_rng(seed)
-    some = x[rng.choice(n, min(n, 2 * limit), replace=False)]
-    pivots = _unit(kmeans(some, -(-n * 3 // limit), 5, seed))
-    row, part = _cells(x, pivots, margin)
-    if np.bincount(part).max() > 0.7 * n or len(row) > 3 * n:
-        return wide_labels(x, weight, near, min_points)
+    if not n:
+        return np.full(0, -1)
+    tiles = _tiles(x)
+    centres = _unit(np.stack([x[t].astype(np.float64).mean(0) for t in tiles]))
+    angle = lambda s: np.arccos(np.clip(s, -1, 1))
+    radius = np.array([angle(x[t] @ c).max() for t, c in zip(tiles, centres)])
+    reach = angle(near) + 0.002  # single precision
+
+    def others(p: int, of: range) -> np.ndarray:
+        """Tiles that may hold rows near to those of tile ``p``, the nearest first."""
+        apart = angle(centres[of.start : of.stop] @ centres[p]) - radius[of.start : of.stop] - radius[p]
+        return np.argsort(apart, kind="stable")[: np.count_nonzero(apart <= reach)] + of.start
+
+    w, core = weight.astype(np.float32), np.zeros(n, bool)
+    for p, rows in enumerate(tiles):
+        degree = (x[rows] @ x[rows].T >= near) @ w[rows]
+        lack = np.flatnonzero(degree < min_points)
+        for q in others(p, range(len(tiles))) if len(lack) else ():
+            if q != p:
+                degree[lack] += (x[rows[lack]] @ x[tiles[q]].T >= near) @ w[tiles[q]]
+                lack = lack[degree[lack] < min_points]
+                if not len(lack):
+                    break
+        core[rows[degree >= min_points]] = True
+    root, tiles = np.arange(n), [t[core[t]] for t in tiles]
+    for across in (False, True):  # the tiles by themselves first
+        for p, rows in enumerate(tiles):
+            for q in (others(p, range(p + 1, len(tiles))) if across else [p]) if len(rows) else ():
+                a, b = root[rows], root[tiles[q]]
+                if not len(b) or (a[0] == b[0] and (a == a[0]).all() and (b == b[0]).all()):
+                    continue
+                u, i = np.unique(a, return_inverse=True)
+                v, j = np.unique(b, return_inverse=True)
+                joined = np.zeros((len(u), len(v)), bool)
+                r, c = np.nonzero(x[rows] @ x[tiles[q]].T >= near)
+                joined[i[r], j[c]] = True
+                r, c = np.nonzero(joined & (u[:, None] != v))
+                root = _join(root, u[r], v[c])
     labels = np.full(n, -1)
-    parent: dict[int, int] = {}
-    order = np.argsort(part, kind="stable")
-    row, part = row[order], part[order]
-    starts = np.flatnonzero(np.r_[True, np.diff(part) != 0])
-    top = 0
-    for a, b in zip(starts, np.append(starts[1:], len(row))):
-        here = row[a:b]
-        got = local_clusters(x[here], weight[here], near, min_points, margin, limit, seed + 1)
-        for c in range(got.max() + 1):
-            parent[top] = top
-            members = here[got == c]
-            for other in np.unique(labels[members]):
-                if other >= 0:
-                    parent[_root(parent, int(other))] = _root(parent, top)
-            labels[members] = top
-            top += 1
-    if not parent:
-        return labels
-    roots = np.array([_root(parent, i) for i in range(top)])
-    _, roots = np.unique(roots, return_inverse=True)
-    return np.where(labels >= 0, roots[np.maximum(labels, 0)], -1)
-
-
-def peel(x: np.ndarray, full: np.ndarray, weight: np.ndarray, near: float, min_points: int, margin: float, least: float, limit: int, seed: int) -> np.ndarray:
-    """Cluster number of the rows in the dense groups of a cell, which a sample of ``limit`` rows shows; -1 for all others.
-
-    A row is in the group of the most similar mean, if that has a similarity of ``least`` or more.
-    """
-    some = np.random.default_rng(seed).choice(len(x), limit, replace=False)
-    got = even_clusters(x[some], full[some], weight[some], near, min_points, margin, least, limit)
-    if got.max() < 0:
-        return np.full(len(x), -1)
-    sums = np.zeros((got.max() + 1, full.shape[1]))
-    np.add.at(sums, got[got >= 0], (full[some] * weight[some, None])[got >= 0])
-    means = merge_means(sums, np.bincount(got[got >= 0], weights=weight[some][got >= 0]), SAME_MEAN)[0].astype(np.float32)
-    labels = np.full(len(x), -1)
-    for a in range(0, len(x), 8192):
-        s = full[a : a + 8192] @ means.T
-        labels[a : a + 8192] = np.where(s.max(1) >= least, s.argmax(1), -1)
+    labels[core] = np.unique(root[core], return_inverse=True)[1]
     return labels
 
 
+def local_clusters(x: np.ndarray, weight: np.ndarray, near: float, min_points: int, margin: float, limit: int = LOCAL_ROWS, seed: int = 7) -> np.ndarray:
+    """:func:`density_labels` for a cell of any size.  Above ``limit`` rows :func:`wide_labels` has the same labels in less memory: a cell is
+    never divided, so neither its size nor ``limit``, ``margin`` and ``seed`` have a part in the result."""
+    return (density_labels if len(x) <= limit else wide_labels)(x, weight, near, min_points)
+
+
 def even_clusters(
     x: np.ndarray, full: np.ndarray, weight: np.ndarray, near: float, min_points: int, margin: float, least: float, limit: int = LOCAL_ROWS
 ) -> np.ndarray:
     """:func:`local_clusters` in which nearly all members (98 %) have a similarity of ``least`` to the mean of theirs; the
     rest of them is clustered again by itself.  A cluster that fails the test is clustered again at the next higher ``near``, up to 0.95; what
-    still fails is taken apart by :func:`balls`.  From more than ``limit`` rows the dense groups are peeled off first, as long as that saves more
-    comparisons than it costs; all rows that are left are then clustered.
+    still fails is taken apart by :func:`balls`.  Cells of all sizes are clustered in this one way, from all their rows.
     """
     labels = np.full(len(x), -1)
     todo = [(np.arange(len(x)), near)]
     number = 0
     while todo:
         rows, level = todo.pop()
-        while len(rows) > limit:
-            got = peel(x[rows], full[rows], weight[rows], level, min_points, margin, least, limit, number)
-            taken = got >= 0
-            labels[rows[taken]] = number + got[taken]
-            number += int(got.max()) + 1
-            saved = int(taken.sum()) * len(rows)
-            rows = rows[~taken]
-            if saved < limit * limit:
-                break
         got = local_clusters(x[rows], weight[rows], level, min_points, margin, limit)
         for c in range(got.max() + 1 if len(got) else 0):
             part = rows[got == c]

@@ -264,6 +264,23 @@ def test_small_group_beside_a_dense_cell():
     assert ((crowd < 0) == (one < 0)).all()
 
 
+def test_no_size_of_a_cell_changes_its_clusters():
+    rng = np.random.default_rng(21)
+    hot, other = clusters._unit(rng.normal(size=(2, 64)))
+    beside = clusters._unit((hot * 0.75 + other * 0.66)[None])[0]  # within 0.8 of many rows, of its own by density
+    x = np.concatenate([hot + rng.normal(size=(1500, 64)) * 0.07, beside + rng.normal(size=(60, 64)) * 0.03, other + rng.normal(size=(30, 64)) * 0.07, rng.normal(size=(900, 64))])
+    x = clusters._unit(x[rng.permutation(len(x))]).astype(np.float32)
+    w = rng.integers(1, 3, len(x)).astype(float)
+    for near in (0.5, 0.68, 0.8):
+        one = clusters.local_clusters(x, w, near, 6, 0.02)
+        even = clusters.even_clusters(x, x, w, near, 6, 0.02, 0.8)
+        assert one.max() >= 0 and even.max() >= 1
+        for limit in (50, 400, 2000):
+            assert np.array_equal(clusters.local_clusters(x, w, near, 6, 0.02, limit), one), (near, limit)
+            assert np.array_equal(clusters.even_clusters(x, x, w, near, 6, 0.02, 0.8, limit), even), (near, limit)
+    assert clusters.wide_labels(x[:0], w[:0], 0.68, 6).shape == (0,)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (102, 100), (200, 300), (7, 7)] + [(1000, j) for j in range(1001, 1100)]
     df = spark.createDataFrame(edges, "a long, b long")
