@@ -69,8 +69,9 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     documents = spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
-    model = reading.fit_levels(documents, table(spark, d, "level_labels"))
-    return reading.reading_levels(documents, model)
+    apart = reading.take_apart(documents)
+    model = reading.fit_levels(documents, table(spark, d, "level_labels"), apart=apart)
+    return reading.reading_levels(documents, model, apart=apart)
 
 
 def p9_profile(spark: SparkSession, d: str) -> DataFrame:
